@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import formatdup, pii
+from sparkloom.llm import encode, formatdup, mixing, packing, pairs, pii, tokenbudget
 from sparkloom.llm.sql import SQL
 from sparkloom.sources.tables import table
 
@@ -33,6 +33,45 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return formatdup.format_groups(formatdup.canonical_hashes(table(spark, folder, "finetune_data")))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records and the defects of their answers."""
+    return pairs.pair_defects(table(spark, folder, "finetune_data"))
+
+
+def p4_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Records assigned to sequences of each stage."""
+    return packing.pack_records(table(spark, folder, "finetune_data"), table(spark, folder, "seq_limits"))
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the sequences of each stage are."""
+    limits = table(spark, folder, "seq_limits")
+    return packing.packing_report(packing.pack_records(table(spark, folder, "finetune_data"), limits), limits)
+
+
+def p5_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens per source, language and task."""
+    return tokenbudget.token_budget(table(spark, folder, "finetune_data"))
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of each document."""
+    return encode.encode_texts(table(spark, folder, "documents"))
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents mixed to the target shares."""
+    targets = table(spark, folder, "mix_targets")
+    return mixing.mixture(mixing.sized_texts(table(spark, folder, "documents"), targets), targets)
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares the mixture reaches."""
+    targets = table(spark, folder, "mix_targets")
+    sized = mixing.sized_texts(table(spark, folder, "documents"), targets)
+    return mixing.mixture_shares(mixing.mixture(sized, targets), sized, targets)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_groups)
+    f.__name__: f for f in (p1_found, p1_redacted, p2_found, p3_found, p3_groups, p4_packed, p4_report, p5_budget, p7_ids, p8_mixture, p8_shares)
 }
