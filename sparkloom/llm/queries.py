@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import encode, formatdup, mixing, packing, pairs, pii, tokenbudget
+from sparkloom.llm import encode, formatdup, mixing, packing, pairs, pii, readability, splitoverlap, tokenbudget
 from sparkloom.llm.sql import SQL
 from sparkloom.sources.tables import table
 
@@ -54,6 +54,17 @@ def p5_budget(spark: SparkSession, folder: str) -> DataFrame:
     return tokenbudget.token_budget(table(spark, folder, "finetune_data"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of train and evaluation records that are the same or almost."""
+    return splitoverlap.split_overlaps(table(spark, folder, "finetune_data"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps per evaluation split and source."""
+    records = table(spark, folder, "finetune_data")
+    return splitoverlap.overlap_report(splitoverlap.split_overlaps(records), records)
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of each document."""
     return encode.encode_texts(table(spark, folder, "documents"))
@@ -72,6 +83,16 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture_shares(mixing.mixture(sized, targets), sized, targets)
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Reading bands of the English documents."""
+    return readability.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels")).select("doc_id", "band")
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out errors of the reading bands by source."""
+    return readability.reading_report(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p2_found, p3_found, p3_groups, p4_packed, p4_report, p5_budget, p7_ids, p8_mixture, p8_shares)
+    f.__name__: f for f in (p1_found, p1_redacted, p2_found, p3_found, p3_groups, p4_packed, p4_report, p5_budget, p6_found, p6_report, p7_ids, p8_mixture, p8_shares, p9_found, p9_report)
 }
