@@ -13,7 +13,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.tokens import TOKENIZER, normal_name, text_tokens
+from sparkloom.functions.text import normal_name
+from sparkloom.llm.tokens import TOKENIZER, text_tokens
 from sparkloom.plans.durable import durable
 
 #: Tokens of a block, texts of a shuffling bucket, slots numbered together.

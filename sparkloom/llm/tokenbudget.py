@@ -19,7 +19,8 @@ from sparkloom.llm.arrow import message_rows
 from sparkloom.llm.bpe import split
 from sparkloom.llm.canonical import role_of
 from sparkloom.llm.lang import LANGUAGES, language_counts
-from sparkloom.llm.tokens import TOKENIZER, normal_name, store
+from sparkloom.functions.text import normal_name
+from sparkloom.llm.tokens import TOKENIZER, store
 
 #: Distinct (slice, piece) counts a task holds before it passes them on; bounds memory, changes no result.
 HELD = 500_000
