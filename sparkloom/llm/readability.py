@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.lang import language_of
+from sparkloom.llm.lang import LANGUAGES, language_counts
 from sparkloom.functions.text import normal_name
 from sparkloom.llm.trees import Boosted
 
@@ -54,7 +54,7 @@ _GROUPS = tuple(
         "and or but so then",
     )
 )
-_N_DIFFICULTY = 3 + 2 * len(_QUANTILES)
+_N_DIFFICULTY = 2 + 2 * len(_QUANTILES)
 
 
 def _word_facts(word: str, known: dict[str, tuple[float, float]]) -> tuple[float, float]:
@@ -73,37 +73,51 @@ def _word_facts(word: str, known: dict[str, tuple[float, float]]) -> tuple[float
 _facts: dict[str, tuple[float, float]] = {}
 
 
-def measure(text: str) -> tuple[np.ndarray, list[list[str]]] | None:
-    """(features without vocabulary, words of each sentence) of a text, or None without words."""
-    sentences = [s for s in (_WORD.findall(p) for p in _SENTENCE.split(text.lower())) if s]
-    all_words = [w for s in sentences for w in s]
-    if not all_words:
+def _at(values: np.ndarray, shares: tuple[float, ...]) -> list[float]:
+    """The values at shares of their order, without interpolation."""
+    ordered = np.sort(values)
+    return [ordered[int(q * (len(ordered) - 1) + 0.5)] for q in shares]
+
+
+def english_sentences(text: str | None) -> list[list[str]] | None:
+    """The words of each sentence or line of an English text of at least LEAST_WORDS words between spaces; else None."""
+    if not text or len(text.split()) < LEAST_WORDS:
         return None
-    facts = np.array([_word_facts(w, _facts) for w in all_words])
-    lengths, syllables = facts[:, 0], facts[:, 1]
+    sentences = [s for s in map(_WORD.findall, _SENTENCE.split(text.lower())) if s]
+    counts = language_counts(text, [w for s in sentences for w in s])
+    return sentences if counts and max(LANGUAGES, key=lambda k: counts.get(k, 0)) == "en" else None
+
+
+def measure(text: str, sentences: list[list[str]]) -> np.ndarray:
+    """Features of a text and the words of its sentences (one word at least), but for the vocabulary."""
+    all_words = [w for s in sentences for w in s]
     n = len(all_words)
+    counts = Counter(all_words)
+    # Each distinct word once, with its number.
+    facts = np.array([_word_facts(w, _facts) for w in counts])
+    times = np.fromiter(counts.values(), np.int64, len(counts))
+    lengths, syllables = np.repeat(facts[:, 0], times), np.repeat(facts[:, 1], times)
     per_sentence = np.array([len(s) for s in sentences], float)
-    distinct = set(all_words)
     content = [{w for w in s if len(w) > 4} for s in sentences]
     shared = [len(a & b) / (1 + min(len(a), len(b))) for a, b in zip(content, content[1:])]
-    capitals = len(_CAPITAL.findall(text))
+    mean = lengths.sum() / n
     out = [
-        lengths.mean(), lengths.std(), *np.quantile(lengths, _QUANTILES), (lengths >= 7).mean(), (lengths >= 10).mean(), (lengths >= 13).mean(), (lengths <= 3).mean(),
-        syllables.mean(), (syllables >= 3).mean(), (syllables >= 4).mean(), (syllables == 1).mean(), *np.quantile(syllables, (0.75, 0.9)),
-        per_sentence.mean(), *np.quantile(per_sentence, _QUANTILES), np.average(per_sentence, weights=per_sentence), n / (1 + capitals),
-        len(distinct) / n, len(distinct) / np.sqrt(n), np.mean(shared) if shared else 0.0, text.count(",") / n, (text.count(";") + text.count(":")) / n, text.count("?") / n, text.count("-") / n,
-        *(sum(map(g.__contains__, all_words)) / n for g in _GROUPS), np.log(n),
+        mean, ((lengths**2).sum() / n - mean**2) ** 0.5, *_at(lengths, _QUANTILES), (lengths >= 7).sum() / n, (lengths >= 10).sum() / n, (lengths >= 13).sum() / n, (lengths <= 3).sum() / n,
+        syllables.sum() / n, (syllables >= 3).sum() / n, (syllables >= 4).sum() / n, (syllables == 1).sum() / n,
+        n / len(sentences), *_at(per_sentence, _QUANTILES), (per_sentence**2).sum() / n, n / (1 + len(_CAPITAL.findall(text))),
+        len(counts) / n, len(counts) / n**0.5, sum(shared) / (1 + len(shared)), text.count(",") / n, (text.count(";") + text.count(":")) / n, text.count("?") / n, text.count("-") / n,
+        *(sum(counts.get(w, 0) for w in g) / n for g in _GROUPS), np.log(n),
     ]
-    return np.array(out, float), sentences
+    return np.array(out, float)
 
 
 def _difficulty_features(sentences: list[list[str]], difficulty: dict[str, float], middle: float) -> np.ndarray:
     get = difficulty.get
-    by_sentence = [[get(w, middle) for w in s] for s in sentences]
-    flat = np.array([d for s in by_sentence for d in s])
-    means = np.array([sum(s) / len(s) for s in by_sentence])
-    sizes = np.array([len(s) for s in by_sentence], float)
-    return np.concatenate([[flat.mean(), flat.std(), np.average(means, weights=sizes)], np.quantile(flat, _QUANTILES), np.quantile(means, _QUANTILES)])
+    flat = np.array([get(w, middle) for s in sentences for w in s])
+    sizes = np.array([len(s) for s in sentences])
+    means = np.add.reduceat(flat, np.concatenate(([0], np.cumsum(sizes)[:-1]))) / sizes
+    mean = flat.sum() / len(flat)
+    return np.array([mean, max(0.0, (flat**2).sum() / len(flat) - mean**2) ** 0.5, *_at(flat, _QUANTILES), *_at(means, _QUANTILES)])
 
 
 def _learn_difficulty(docs: list[list[list[str]]], y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, float], float]:
@@ -140,7 +154,7 @@ class ReadingModel:
         return (np.searchsorted(self.cuts, scores, "right") + BANDS[0]).astype(np.int32)
 
 
-def _folds(groups: list[str], n: int, most: int = 6) -> np.ndarray:
+def _folds(groups: list[str], n: int, most: int = 5) -> np.ndarray:
     """The fold of each row: sources are kept whole, dealt largest first to the smallest fold; with fewer than three sources, rows are dealt in turn."""
     sizes: dict[str, int] = defaultdict(int)
     for g in groups:
@@ -168,9 +182,9 @@ def fit(texts: list[str], bands: np.ndarray, weight: np.ndarray, sources: list[s
     """Fit a model to rated texts. Without any rated text every document gets the middle band."""
     measured, rows = [], []
     for i, t in enumerate(texts):
-        m = measure(t)
-        if m is not None:
-            measured.append(m)
+        sentences = english_sentences(t)
+        if sentences is not None:
+            measured.append((measure(t, sentences), sentences))
             rows.append(i)
     if not rows:
         trees = Boosted(rounds=0, edges=[np.empty(0)], base=(BANDS[0] + BANDS[1]) / 2)
@@ -193,7 +207,7 @@ def fit(texts: list[str], bands: np.ndarray, weight: np.ndarray, sources: list[s
     for k in np.unique(folds):
         test, train = folds == k, folds != k
         if train.any():
-            held_out[test] = Boosted(rounds=100).fit(x[train], y[train], weight[train]).predict(x[test])
+            held_out[test] = Boosted(rounds=70, rate=0.13).fit(x[train], y[train], weight[train]).predict(x[test])
     cuts = _calibrate(held_out, y, weight)
     got = np.searchsorted(cuts, held_out, "right") + BANDS[0]
     nearest = np.rint(y)
@@ -202,11 +216,7 @@ def fit(texts: list[str], bands: np.ndarray, weight: np.ndarray, sources: list[s
         at = np.array([g == s for g in sources])
         report.append((s, int(at.sum()), float(np.abs(held_out[at] - y[at]).mean()), float((got[at] == nearest[at]).mean()), float((np.abs(got[at] - nearest[at]) <= 1).mean())))
     table, middle = _learn_difficulty(docs, y, weight)
-    return ReadingModel(table, middle, Boosted().fit(x, y, weight), cuts, report)
-
-
-def _is_candidate(text: str | None) -> bool:
-    return bool(text) and len(text.split()) >= LEAST_WORDS and language_of(text) == "en"
+    return ReadingModel(table, middle, Boosted(rounds=120).fit(x, y, weight), cuts, report)
 
 
 _RATED = "doc_id long, source string, text string"
@@ -214,7 +224,7 @@ _RATED = "doc_id long, source string, text string"
 
 def _keep_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.filter(pa.array([_is_candidate(t) for t in batch.column(2).to_pylist()], pa.bool_()))
+        yield batch.filter(pa.array([english_sentences(t) is not None for t in batch.column(2).to_pylist()], pa.bool_()))
 
 
 def train(documents: DataFrame, labels: DataFrame, most_rated: int = MOST_RATED) -> ReadingModel:
@@ -243,9 +253,10 @@ def _predictor(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         for batch in batches:
             ids, measured = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if _is_candidate(text) and (m := measure(text)) is not None:
+                sentences = english_sentences(text)
+                if sentences is not None:
                     ids.append(doc_id)
-                    measured.append(m)
+                    measured.append((measure(text, sentences), sentences))
             scores = own.scores(measured)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own.bands(scores)), pa.array(scores)], names=["doc_id", "band", "level"])
 
