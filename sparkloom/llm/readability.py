@@ -29,7 +29,9 @@ from sparkloom.functions.text import normal_name
 from sparkloom.llm.trees import Boosted
 
 #: Rated documents used to fit, at most, drawn by hash of their id.
-MOST_RATED = 12_000
+MOST_RATED = 8_000
+#: Longer rated texts aren't used to fit, so the sample's size is bounded; they get a band like any other.
+MOST_CHARACTERS = 50_000
 #: Words whose difficulty is kept: the most frequent ones of the rated documents.
 MOST_WORDS = 20_000
 #: Words between spaces below which a document has no band.
@@ -239,7 +241,7 @@ def train(documents: DataFrame, labels: DataFrame, most_rated: int = MOST_RATED)
     target = dict(zip(drawn.column("doc_id").to_pylist(), zip(drawn.column("band").to_pylist(), drawn.column("raters").to_pylist())))
     spark = documents.sparkSession
     ids = F.broadcast(spark.createDataFrame([(i,) for i in target], "doc_id long"))  # most_rated ids at most
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), normal_name(F.col("source")).alias("source"), "text").join(ids, "doc_id", "left_semi")
+    rows = documents.where(F.length("text") <= MOST_CHARACTERS).select(F.col("doc_id").cast("long").alias("doc_id"), normal_name(F.col("source")).alias("source"), "text").join(ids, "doc_id", "left_semi")
     found = rows.mapInArrow(_keep_candidates, _RATED).toArrow().sort_by("doc_id")
     doc_ids = found.column("doc_id").to_pylist()
     bands = np.array([target[i][0] for i in doc_ids], float)
