@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import patterns as P
@@ -11,6 +11,11 @@ from sparkloom.functions.text import clean_text, nfkc_messages, normalize_for_ha
 MESSAGES = "array<struct<role:string,content:string>>"
 
 
+def computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Rows with further columns that are computed once: neither conditions on them nor later columns are rewritten in terms of what they were made from."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def message(role: Column | str, content: Column) -> Column:
     """One message."""
     return F.struct((F.lit(role) if isinstance(role, str) else role).alias("role"), content.alias("content"))
@@ -127,4 +132,4 @@ def as_response(text: Column) -> Column:
     return F.array(message("assistant", F.coalesce(text, F.lit("None"))))
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Column", "F", "P")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Column", "DataFrame", "F", "P")]

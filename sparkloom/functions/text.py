@@ -41,13 +41,17 @@ def nfkc_messages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.ListArray.from_arrays(arrays.offsets, even, mask=arrays.is_null()) if arrays.null_count else pa.ListArray.from_arrays(arrays.offsets, even)
 
 
+#: The characters of P.SPACE, in which it is the ends that count.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def _any(patterns: tuple[str, ...]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, rf"\A{P.SPACE}+|{P.SPACE}+\z", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def squeeze(text: Column) -> Column:
@@ -60,7 +64,7 @@ def clean_text(value: Column, nfkc: bool = True) -> Column:
     text = F.coalesce(value.cast("string"), F.lit(""))
     text = F.translate(_nfkc(text) if nfkc else text, "​ ", "  ")
     text = F.regexp_replace(text, r"\r\n?", "\n")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
+    text = F.regexp_replace(text, r"[ \t]{2,}|\t", " ")  # single spaces stay as they are
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
@@ -164,7 +168,7 @@ def topic_prompt(instruction: Column, more: Column, unlabelled_when_blank: bool)
 
 def option_label(index: Column) -> Column:
     """A, B, C or D for 0 to 3; null beyond."""
-    return F.element_at(F.array(*map(F.lit, "ABCD")), F.when(index.between(0, 3), index + 1))
+    return F.get(F.array(*map(F.lit, "ABCD")), index)
 
 
 def normal_name(name: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import patterns as P
 from sparkloom.functions import text as X
-from sparkloom.functions.messages import conversation, example_id, is_valid_dialogue, is_valid_pair, last_turns, merge_turns, message, normalize_messages, with_system
+from sparkloom.functions.messages import computed, conversation, example_id, is_valid_dialogue, is_valid_pair, last_turns, merge_turns, message, normalize_messages, with_system
 from sparkloom.plans.config import DialogueRules, Lengths
 
 
@@ -22,11 +22,6 @@ def _finish(rows: DataFrame, source: str, task: str, messages: Column, keep: lis
     return built.withColumn("id", example_id(F.col("source"), F.col("task"), F.col("messages")))
 
 
-def computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Rows with further columns that are computed once: conditions on them aren't rewritten in terms of what they were made from."""
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
-
-
 def _pair(system: str | None, user: Column, assistant: Column) -> Column:
     return conversation(system, message("user", user), message("assistant", assistant))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.messages import full_signature, normalize_messages, user_signature
+from sparkloom.functions.messages import computed, full_signature, normalize_messages, user_signature
 from sparkloom.functions.text import normal_name
 from sparkloom.operators.dedup import dedup_by_priority, dedup_lenient_strict, dedup_pool
 from sparkloom.operators.sampling import draw_to_targets, split_random
@@ -18,7 +18,7 @@ from sparkloom.plans.durable import durable
 
 def signed(rows: DataFrame) -> DataFrame:
     """Rows with ``user_sig`` and ``full_sig`` of their cleaned messages."""
-    return rows.withColumns({"user_sig": user_signature(F.col("messages"), cleaned=True), "full_sig": full_signature(F.col("messages"))})
+    return computed(rows, {"user_sig": user_signature(F.col("messages"), cleaned=True), "full_sig": full_signature(F.col("messages"))})
 
 
 def pool_of_records(records: DataFrame, nfkc: bool = True) -> DataFrame:
@@ -26,9 +26,9 @@ def pool_of_records(records: DataFrame, nfkc: bool = True) -> DataFrame:
     split = F.lower(F.trim("split"))
     rows = records.select(
         F.col("record_id").alias("pos"), "id", F.when(split.isin("valid", "validation"), "val").otherwise(split).alias("split"), normal_name(F.col("source")).alias("source"), normal_name(F.col("task")).alias("task"),
-        normalize_messages(F.col("messages"), nfkc).alias("messages"),
-    )
-    return signed(rows.where("size(messages) > 0"))
+        F.col("messages").alias("_raw"),
+    ).where("size(_raw) > 0")
+    return signed(computed(rows, {"messages": normalize_messages(F.col("_raw"), nfkc)}).drop("_raw").where("size(messages) > 0"))
 
 
 @dataclass(frozen=True)
