@@ -25,20 +25,20 @@ KINDS = ("email", "phone", "idnum", "address", "name")
 # Words in four languages that announce or form personal information.
 TITLES = "mr mrs ms miss mx dr prof doctor professor herr frau señor señora sr sra srta dra doña monsieur madame mme mlle docteur doktor nurse sister".split()
 GIVEN_NAMES = (
-    "adam ahmed aisha alan alejandro alex alexander ada amara amelia amir amy ana anders andrew anna anton antonio arjun arthur astrid "
-    "beatriz ben benjamin bjorn björn boris bruno camila carl carla carlos carmen charles chen chidi chloe claire clara claudia "
-    "dalia daniel dario david diego dmitri edward elena elif elisa elizabeth ella emeka emil emily emma eric erik esther eva farid fatima felix fiona francis frank "
-    "gabriel george gloria goran greta hana hannah hans helen henry hugo imani ines ingrid irene isabel ivan ivo jacob jamal james jan jana jane jean johan john jonas jose josé "
-    "juan julia kaito karen karin karl katarina keiko kenji kofi lars laura leila leon lina louis lucas lucia luis mads magnus marco maren maria marie marta "
+    "ada adam ahmed aisha alan alejandro alex alexander amara amelia amir amy ana anders andrew anna anton antonio arjun arthur astrid beatriz ben benjamin "
+    "bjorn björn boris bruno camila carl carla carlos carmen cedric charles chen chidi chloe claire clara claudia dalia daniel dario david diego dmitri "
+    "edward elena elif elisa elizabeth ella emeka emil emily emma eric erik esther eva farid fatima felix fiona francis frank gabriel george gloria goran "
+    "greta hana hannah hans helen henry hugo imani ines ingrid irene isabel ivan ivo jacob jamal james jan jana jane jean johan john jonas jose josé juan "
+    "julia kaito karen karin karl katarina keiko kenji kofi lars laura leila leon lina louis lucas lucia luis mads magnus marco maren maria marie marta "
     "martin mary mateo maya mehmet mei michael miguel mila milan mohamed nadia naomi nils nina noah noor olga oliver omar oscar otto pablo paul paulo pedro "
     "peter petra pierre priya quentin rafael ravi rebecca robert rosa ruth samir samuel sanjay sara sarah silvia simon sofia sophie stefan susan sven "
-    "tamsin tariq thomas tomas uma ursula viktor vera walter wanda wei william xenia yara yasmin yusuf zara zoltan"
+    "tamsin tariq thomas tomas uma ursula vera viktor walter wanda wei william xenia yara yasmin yusuf zara zoltan"
 ).split()
 NAME_CUES = (
     "my name is|name is|i am called|they call me|signed by|seen by|this is about|patient:|patient name:|name:|spoke with|spoken with|talked to|notes from|on file for|"
     "letter to|told by|treated by|referred by|written by|copied to|my boss|my colleague|my neighbour|my friend|my husband|my wife|after the fall|went to see|"
     "je m'appelle|je m’appelle|mon nom est|suivi par|reçu par|écrivez à|schreiben sie an|escriba a|vu|contacte a|me llamo|mi nombre es|me atendió|me trató|atendido por|mein name ist|ich heiße|ich heisse|behandelt hat mich|"
-    "behandelt von|unterschrieben von|as|so|with|i,|dear|hello|hi|regards,|sincerely,|wishes,"
+    "behandelt von|unterschrieben von|as|so|with|i,|dear|hello|hi|regards,|regards,,|sincerely,|wishes,"
 ).split("|")
 #: What follows a name.
 AFTER_CUES = (
@@ -86,9 +86,9 @@ _DOT = r"(?:\s*[\[({<]\s*(?:dot|punto|point|punkt)\s*[\])}>]\s*|\s+(?:dot|punto|
 _LOCAL = rf"[\w%+-]+(?:(?:\.|{_DOT})[\w%+-]+)*"
 _SPELLED_EMAILS = (
     re.compile(rf"{_LOCAL}\s*[\[({{<]\s*(?:at|arroba|arobase)\s*[\])}}>]\s*[\w-]+(?:(?:\.|{_DOT})[\w-]+)+", re.I),
-    re.compile(rf"{_LOCAL}(?:\s+(?:at|arroba|arobase)\s+|\s?@\s?)[\w-]+(?:\.[\w-]+)*{_DOT}[\w-]+(?:(?:\.|{_DOT})[\w-]+)*", re.I),
+    re.compile(rf"{_LOCAL}(?:\s+(?:at|arroba|arobase)\s+|\s?@\s?)[\w-]+(?:\.[\w-]+)*{_DOT}[\w-]+(?:(?:\.|{_DOT})[\w-]+)*(?![\w-]|\s+(?:at|arroba|arobase)\s+[\w-]+{_DOT})", re.I),
 )
-_NUMBER = re.compile(r"(?<![\w.,/-])(?:\+\s?|00\s?)?\(?\d[\d().\-\s/ ‐-–]{5,24}\d(?![\d\w])|(?<![\w.,/-])\+?\d{9,14}(?![\d\w])")
+_NUMBER = re.compile(r"(?<![\w.,/-])(?:\+ ?|00 ?)?\(?\d[\d().\-/ \t\xa0‐-–]{5,24}\d(?![\d\w])|(?<![\w.,/-])\+?\d{9,14}(?![\d\w])")
 _EXT = re.compile(r"\s*(?:,?\s*(?:ext|extension|x|anexo|poste|durchwahl)\.?\s*\d{1,5})", re.I)
 _ID_SHAPE = re.compile(
     r"(?<![\w-])(?:MRN:?\s?)?(?:[A-Z]{2,3}-\d{4}-\d{2}-\d{3}|[A-Z]{1,3}\d{6,10}[A-Z]?|\d{7,9}-?[A-Z]|\d{2}-\d{4}-\d{2}|\d{3}[- ]\d{2}[- ]\d{4}|\d{3}[- ]\d{3}[- ]\d{4}|\d{6,12}|[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-Z])(?![\w-])",
@@ -320,7 +320,8 @@ def _names(text: str, folded: str, tags: Tags, taken: list[Span]) -> list[Span]:
         if got:
             take(*got)
         elif not _AFTER_NAME.match(text, e):
-            take(s, e)
+            more = _LOWER_SURNAME.match(text, e)  # a surname without its capital, where the words after it say so
+            take(s, more.end() if more and any(a == more.end() for a, _ in tags.get("after", ())) else e)
     for s, _ in tags.get("after", ()) if plain_case else ():
         m = _NAME_BEFORE.search(text, max(0, s - 60), s)
         got = m and _valid_name(text, m.start(1), m.end(1), False)
@@ -329,6 +330,7 @@ def _names(text: str, folded: str, tags: Tags, taken: list[Span]) -> list[Span]:
     if plain_case and (". " in text or ".\xa0" in text):
         for m in _INITIAL.finditer(text):
             option = text[m.start()] <= "H" and (m.start() == 0 or text[m.start() - 1] == "\n")
+            option = option and not any(c == m.start() for _, c in tags.get("cue", ())) and not any(a == m.end() for a, _ in tags.get("after", ()))
             if not option and len(m[1]) > 3 and m[1].lower() not in NOT_NAMES and not _AFTER_NAME.match(text, m.end()):
                 take(*m.span())
     if plain_case and ("\n" in text or len(text) < 60):
