@@ -241,10 +241,10 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
     return common >= 0.75 * len(answer) or common >= len(answer) - 12 or containment(answer, question, 2) >= 0.8
 
 
-def _language(counts: Counter) -> str | None:
+def _language(counts: Counter, least: float = 3) -> str | None:
     """The language most words speak for, where they do so clearly."""
     whole = sum(counts.values())
-    if whole < 3:
+    if whole < least:
         return None
     best, n = max(counts.items(), key=lambda x: x[1])
     return best if n >= 0.6 * whole else None
@@ -254,7 +254,7 @@ def _wrong_language(question: str, asked: Counter, before: Counter, answered: Co
     own = _language(answered)
     if own is None:
         return False
-    expected = _language(asked) or _language(before + asked)
+    expected = _language(asked) or _language(before + asked) or _language(asked, 1)
     if expected is None or expected == own:
         return False
     wish = _ASKS.search(question)

@@ -159,6 +159,7 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 _AUTOMATON = _automaton()
+_WEAK_CUES = ("as", "so", "with", "hi", "hello", "dear")
 _ROLES = ("nurse", "sister", "doctor", "docteur", "doktor", "professor")
 _SIGNATURE = re.compile(rf"(?:^|\n)[ \t]*({_ONE}(?:,?[ \xa0]+{_ONE}){{1,2}})[ \t]*(?=\n|\Z|\()")
 _GIVEN = frozenset(GIVEN_NAMES)
@@ -299,7 +300,8 @@ def _names(text: str, folded: str, tags: Tags, taken: list[Span]) -> list[Span]:
         if e < len(text) and text[e].isupper() and (s == 0 or not text[s - 1].isalnum()):
             m = _NAME.match(text, e, limit(e))
             got = m and _valid_name(text, e, m.end(), False)
-            if got:
+            # Shouted words after a mere preposition are no name; with a given name they are found below.
+            if got and not (folded[s:e].strip() in _WEAK_CUES and text[got[0] : got[1]].isupper()):
                 take(*got)
     for s, e in tags.get("given", ()):
         if text[s].islower() and (s == 0 or not text[s - 1].isalnum()):  # all in lower case: a cue must stand on one side
