@@ -698,3 +698,62 @@ def batch_inference(spark: SparkSession, folder: str) -> DataFrame:
 def nfkc_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Cleaned documents with compatibility characters brought together."""
     return table(spark, folder, "documents").select("doc_id", X.clean_text(F.col("text")).alias("text"))
+
+
+# --- Set operations and small closed forms --------------------------------------------
+
+
+@register("SELECT 'dialogue' AS pool, id AS key FROM dialogue UNION ALL SELECT 'mcq', id FROM mcq UNION ALL SELECT 'reference', document_id FROM reference_qa")
+def union_pools(spark: SparkSession, folder: str) -> DataFrame:
+    """Pools one after the other."""
+    parts = [table(spark, folder, t).select(F.lit(n).alias("pool"), F.col(k).alias("key")) for t, n, k in (("dialogue", "dialogue", "id"), ("mcq", "mcq", "id"), ("reference_qa", "reference", "document_id"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("SELECT prompt_id FROM generation WHERE prompt_id IS NOT NULL EXCEPT SELECT prompt_id FROM benchmark_prompt")
+def except_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of responses without a benchmark row."""
+    return judge.unmatched_ids(table(spark, folder, "benchmark_prompt"), table(spark, folder, "generation"))
+
+
+@register("SELECT prompt_id, line_no, substring(coalesce(response, ''), 1, 60) AS preview FROM generation")
+def preview_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Beginnings of texts."""
+    return table(spark, folder, "generation").select("prompt_id", "line_no", X.preview(F.col("response"), 60).alias("preview"))
+
+
+@register(f"SELECT id, ['A', 'B', 'C', 'D'][CAST({_INDEX} AS BIGINT) + 1] AS label, [opa, opb, opc, opd][CAST({_INDEX} AS BIGINT) + 1] AS option FROM mcq")
+def option_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Correct options by label and text."""
+    at = X.choice_index(F.col("cop"))
+    return table(spark, folder, "mcq").select("id", X.option_label(at).alias("label"), F.get(F.array("opa", "opb", "opc", "opd"), at).alias("option"))
+
+
+@register("SELECT i AS step, round(1e6 * 2e-5 * CASE WHEN i < 10 THEN i / 10.0 ELSE greatest(0.0, (100 - i) / 90.0) END, 6) AS rate_e6 FROM range(0, 121) t(i)")
+def linear_warmup(spark: SparkSession, folder: str) -> DataFrame:
+    """Learning rates by step."""
+    return spark.range(0, 121).select(F.col("id").alias("step"), F.round(1e6 * schedules.linear_rate(F.col("id"), 100, 10, 2e-5), 6).alias("rate_e6"))
+
+
+_PARAMETERS = ("embeddings.word.weight", "layer.0.attention.bias", "layer.0.LayerNorm.weight", "layer.1.LayerNorm.bias", "layer.1.dense.weight", "head.bias")
+
+
+@register(f"SELECT name, CASE WHEN contains(name, 'bias') OR contains(name, 'LayerNorm.weight') THEN 'no_decay' ELSE 'decay' END AS grp FROM (VALUES {', '.join(f'({O.quote(p)})' for p in _PARAMETERS)}) t(name)")
+def decay_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Parameters by whether weight decay applies."""
+    return spark.createDataFrame([(p,) for p in _PARAMETERS], "name string").select("name", schedules.decay_group(F.col("name")).alias("grp"))
+
+
+@register("SELECT split, round(100.0 * count(*) FILTER (WHERE source IS NULL) / count(*), 6) AS percent FROM finetune_data GROUP BY split")
+def ratio_percent(spark: SparkSession, folder: str) -> DataFrame:
+    """A part in percent of the whole."""
+    rows = table(spark, folder, "finetune_data").groupBy("split").agg(F.count(F.when(F.col("source").isNull(), 1)).alias("a"), F.count(F.lit(1)).alias("b"))
+    return rows.select("split", F.round(schedules.trainable_percent(F.col("a"), F.col("b")), 6).alias("percent"))
+
+
+@register("SELECT band, CAST(CASE band WHEN 1 THEN 0 WHEN 3 THEN 1 WHEN 5 THEN 2 END AS BIGINT) AS label_id, CASE band WHEN 1 THEN 'negative' WHEN 3 THEN 'neutral' WHEN 5 THEN 'positive' END AS label, doc_id FROM reading_labels")
+def label_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels to numbers and back."""
+    named = F.when(F.col("band") == 1, "negative").when(F.col("band") == 3, "neutral").when(F.col("band") == 5, "positive")
+    code = classify.encode_label(named)
+    return table(spark, folder, "reading_labels").select(big(F.col("band")).alias("band"), big(code).alias("label_id"), classify.decode_label(code).alias("label"), "doc_id")
