@@ -268,6 +268,22 @@ def test_many_copies_on_both_sides(spark, records):
     assert {x for p in got for x in p} == set(range(120)) and all(a < 60 <= b for a, b in got) and len(got) <= 8 * 120
 
 
+def test_hot_group_of_near_copies(spark, records, monkeypatch):
+    text = "please write a short letter about the opening hours of our new office in the old town for client number {} and keep it polite and friendly throughout all of it"
+    rows = [(i, [("user", text.format(f"x{i}"))], "train" if i % 3 else "val") for i in range(900)]
+    got = {tuple(r) for r in splitoverlap.split_overlaps(records(rows)).collect()}
+    assert {x for p in got for x in p} == set(range(900))  # every record keeps a link
+    assert len(got) < 900 * 2 * splitoverlap.FULL
+
+
+def test_hot_suffixes_are_spread():
+    bucket = np.array([7] * 1000 + list(range(100, 200)), np.uint64)
+    after = np.ones((1100, 3), np.uint32)
+    got = splitoverlap._spread_hot(bucket, after, 1, 5)
+    assert (got[1000:] == bucket[1000:]).all() and np.unique(got[:1000], return_counts=True)[1].max() <= splitoverlap.HOT
+    assert (splitoverlap._spread_hot(bucket[900:], after[900:], 1, 5)[100:] == bucket[1000:]).all()
+
+
 # --- p8 -------------------------------------------------------------------------------
 
 
