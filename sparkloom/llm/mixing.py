@@ -20,7 +20,6 @@ from sparkloom.plans.durable import durable
 #: Tokens of a block, texts of a shuffling bucket, slots numbered together.
 BLOCK_TOKENS, BUCKET_ROWS, CHUNK_SLOTS = 8192, 10_000, 4096
 _GOLDEN = (math.sqrt(5) - 1) / 2
-_SHARES = "source string, target_share double, max_repeat int, available_tokens long, wanted_tokens long"
 
 
 def _plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None) -> list[tuple[str, float, int, int, int]]:

@@ -79,7 +79,6 @@ _CAP = rf"[{_UP}][{_LOW}{_UP}’']+"
 _ONE = rf"(?:{_CAP}(?:-{_CAP})*|[{_UP}]\.)"
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Doctor|Professor|Herr|Frau|Señora?|Sra?|Srta|Dra|Doña|Monsieur|Madame|Mme|Mlle|Docteur|Doktor|Nurse|Sister)"
 _NAME = re.compile(rf"(?:(?i:{_TITLE})\b\.?[ \xa0]+)*{_ONE}(?:,?[ \xa0]+{_ONE}){{0,2}}")
-_ANY_CASE = rf"(?:[{_UP}{_LOW}][{_UP}{_LOW}’']+(?:-[{_UP}{_LOW}]+)*|[{_UP}{_LOW}]\.)"
 _WORD = re.compile(rf"[{_UP}{_LOW}’'-]+")
 _EMAIL = re.compile(r"[\w.%+'-]*[\w%+-]\s?(?:@|＠|&#64;)\s?[\w-]+(?:\s?\.\s?[\w-]+)*\.[A-Za-z][\w-]*")
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punto|point|punkt)\s*[\])}>]\s*|\s+(?:dot|punto|point|punkt)\s+)"
@@ -162,7 +161,6 @@ _AUTOMATON = _automaton()
 _WEAK_CUES = ("as", "so", "with", "hi", "hello", "dear")
 _ROLES = ("nurse", "sister", "doctor", "docteur", "doktor", "professor")
 _SIGNATURE = re.compile(rf"(?:^|\n)[ \t]*({_ONE}(?:,?[ \xa0]+{_ONE}){{1,2}})[ \t]*(?=\n|\Z|\()")
-_GIVEN = frozenset(GIVEN_NAMES)
 _TITLE_SET = frozenset(TITLES)
 _AFTER_NAME = re.compile(r"['’]s?\b|\s+(?:\w+\s+)?(?:scale|sign|disease|syndrome|test|index|score|criteria|classification|protocol|method|maneuver)\b", re.I)
 _PARTS = re.compile(rf"{_ONE}(?:,?[ \xa0]+{_ONE}){{0,2}}")
