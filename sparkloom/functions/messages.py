@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions import patterns as P
 from sparkloom.functions.text import clean_text, nfkc_messages, normalize_for_hash, stable_hash, stable_hash_array, strip
 
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -131,5 +130,3 @@ def as_response(text: Column) -> Column:
     """A response as the single assistant message."""
     return F.array(message("assistant", F.coalesce(text, F.lit("None"))))
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Column", "DataFrame", "F", "P")]

@@ -315,9 +315,6 @@ def _pool(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.pool_of_records(table(spark, folder, "finetune_data"), nfkc=False)
 
 
-_RANK = "row_number() OVER (PARTITION BY split, {sig} ORDER BY {order})"
-
-
 @register(f"WITH {O.POOL}, d AS (SELECT *, row_number() OVER (PARTITION BY source, split, user_sig ORDER BY pos) AS rn FROM pool) SELECT pos, source, split FROM d WHERE rn = 1")
 def dedup_pool(spark: SparkSession, folder: str) -> DataFrame:
     """First of equal questions within each source and split."""
