@@ -156,10 +156,6 @@ _LEADS = tuple(
     )
 )
 _TAILS = tuple(tuple(x.split()) for x in "and i hope you understand|i hope you understand".split("|"))
-#: Words one of which every refusal has; others needn't be aligned.
-_REFUSAL_CUES = frozenset(
-    "can cannot unable not no won decline declined refrain prevent outside refuse respond puedo no debo rechazar prefiero peux ne pas suis dois décliner refuse muss darf kann nicht keine ablehnen".split()
-)
 # Endings of letters and notes that need no mark after them.
 SIGN_OFFS = (
     "all the best|take care|best wishes|best regards|kind regards|warm regards|regards|sincerely|yours sincerely|yours|get well soon|good luck|thank you|thanks|many thanks|cheers|"
@@ -223,8 +219,6 @@ def is_refusal(content: str) -> bool:
                 break
         if not sentence:
             continue
-        if _REFUSAL_CUES.isdisjoint(sentence) and "äußere" not in sentence and "doy" not in sentence and "donne" not in sentence:
-            return False
         if not any(_aligned(sentence, r) for r in REFUSALS):
             return False
         declined = True
@@ -358,8 +352,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 answer_words = words(fold(content))
                 if is_refusal(content):
                     found.add("refusal")
+                copied = bool(question_words) and is_copy(question_words, answer_words)
                 if question_words:
-                    if is_copy(question_words, answer_words):
+                    if copied:
                         found.add("copied")
                     elif _wrong_language(question, asked, before, language_counts(content, answer_words)):
                         found.add("wrong_language")
@@ -371,7 +366,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if is_open:
                     keys = _end_keys(tokens)
                     closings[keys[0]] += 1
-                    if not any(" ".join(map(_plain, tokens[-k:])) in _SIGN_OFFS for k in range(1, 6)):
+                    # A copy ends as the question does.
+                    if not copied and not any(" ".join(map(_plain, tokens[-k:])) in _SIGN_OFFS for k in range(1, 6)):
                         rows += [("open", record_id, None, k, level, None, None, n) for level, k in enumerate(keys)]
                     tokens.pop()
                 pairs.update(zip(["."] + tokens, tokens))
