@@ -22,7 +22,7 @@ from sparkloom.plans.durable import durable
 #: Parts a group is spread over before it is joined: a group of a third of all rows puts a fraction of 1/SALTS of itself into a task.
 SALTS = 16
 
-_HASHES = pa.schema([("row_id", pa.int64()), ("plain", pa.binary()), ("sorted", pa.binary()), ("check", pa.int64()), ("has_fields", pa.bool_())])
+_HASHES = pa.schema([("row_id", pa.int64()), ("plain", pa.binary()), ("sorted", pa.binary()), ("check", pa.int64()), ("n_fields", pa.int32())])
 
 
 def _signed(n: int) -> int:
@@ -35,14 +35,15 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for row_id, messages in zip(batch.column(0).to_pylist(), message_rows(batch)):
             if not messages:
                 continue
-            plain, ordered = [], []
+            plain, ordered, with_fields = [], [], 0
             for role, content in messages:
                 a, b = canonical_letters(content)
+                with_fields += a != b
                 head = role_of(role) + "\x1d"
                 plain.append(head + a)
                 ordered.append(head + b)
             a, b = "\x1e".join(plain).encode("utf-8", "surrogatepass"), "\x1e".join(ordered).encode("utf-8", "surrogatepass")
-            for column, value in zip(out, (row_id, xxhash.xxh3_128_digest(a), xxhash.xxh3_128_digest(b), _signed(xxhash.xxh64_intdigest(b, 7)), a != b)):
+            for column, value in zip(out, (row_id, xxhash.xxh3_128_digest(a), xxhash.xxh3_128_digest(b), _signed(xxhash.xxh64_intdigest(b, 7)), with_fields)):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, _HASHES)], schema=_HASHES)
 
@@ -51,20 +52,18 @@ def canonical_hashes(records: DataFrame, id_col: str = "record_id", messages_col
     """One row per record with messages: row_id, key (128-bit, binary), check (64-bit).
 
     Rows with null or empty ``messages`` are left out; null contents and roles count as
-    empty. A record without labelled fields whose letters equal those of a record with
-    fields (its line ends were lost, say) takes that record's key.
+    empty. A record that shows fewer labelled fields than another with the same letters
+    (its line ends were lost, say) takes that record's key.
     """
     rows = records.select(F.col(id_col).cast("long").alias("row_id"), F.col(messages_col).alias("messages"))
-    hashed = durable(rows.mapInArrow(_hash_batches, "row_id long, plain binary, sorted binary, check long, has_fields boolean"), "formatdup")
-    # Field order: letters in order -> the sorted form of a record that has fields.
-    salt = F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")
+    hashed = durable(rows.mapInArrow(_hash_batches, "row_id long, plain binary, sorted binary, check long, n_fields int"), "formatdup")
+    # Letters in order -> the sorted form of the record in which most messages show fields.
+    salted = hashed.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
     forms = (
-        hashed.where("has_fields").groupBy("plain").agg(F.min(F.struct("sorted", "check")).alias("form"))
+        hashed.where("n_fields > 0").groupBy("plain").agg(F.max(F.struct("n_fields", "sorted", "check")).alias("form"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    loose = hashed.where("not has_fields").withColumn("salt", salt).join(forms, ["plain", "salt"], "left")
-    loose = loose.select("row_id", F.coalesce("form.sorted", "sorted").alias("key"), F.coalesce("form.check", "check").alias("check"))
-    return loose.unionByName(hashed.where("has_fields").select("row_id", F.col("sorted").alias("key"), "check"))
+    return salted.join(forms, ["plain", "salt"], "left").select("row_id", F.coalesce("form.sorted", "sorted").alias("key"), F.coalesce("form.check", "check").alias("check"))
 
 
 def format_groups(hashes: DataFrame) -> DataFrame:
