@@ -1,3 +1,32 @@
 """DuckDB SQL of the queries in this subpackage that SQL can express."""
 
+from __future__ import annotations
+
 SQL: dict[str, str] = {}
+
+_SPACE = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
+_SPLITS = (r"[\r\n;|]+", r"[\r\n]+", r"\|", ";")
+
+
+def _letters(x: str) -> str:
+    return rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
+def _fields(separator: str) -> str:
+    """A case for messages that consist of labelled fields between such separators."""
+    parts = rf"list_filter(string_split_regex(x, '{separator}'), lambda p: regexp_matches(p, '[^\t-\r\x1c-\x1f\x{{85}}\p{{Z}}]'))"
+    labelled = rf"len({parts}) > 1 AND len(list_filter({parts}, lambda p: NOT regexp_matches(p, '^[^\p{{L}}\p{{N}}]*\p{{L}}[^:]{{0,48}}:'))) = 0"
+    return f"WHEN {labelled} THEN array_to_string(list_sort(list_transform({parts}, lambda p: {_letters('p')})), chr(31))"
+
+
+#: Text folded as far as SQL can: lower case, sharp s; the table holds no other compatibility characters but no-break spaces and the ordinal sign.
+_FOLDED = "replace(replace(replace(lower(coalesce(messages[i].content, '')), 'ß', 'ss'), chr(160), ' '), 'º', 'o')"
+
+SQL["p3_found"] = f"""
+WITH m AS (SELECT record_id, messages, unnest(range(1, len(messages) + 1)) AS i FROM finetune_data WHERE len(messages) > 0),
+c AS (SELECT record_id, i, regexp_replace(lower(coalesce(messages[i].role, '')), '{_SPACE}+', '', 'g') AS role, {_FOLDED} AS x FROM m),
+f AS (SELECT record_id, i, role, {_letters('x')} AS plain, CASE {' '.join(map(_fields, _SPLITS))} END AS fields FROM c),
+r AS (SELECT record_id, string_agg(role || chr(29) || plain, chr(30) ORDER BY i) AS plain, string_agg(role || chr(29) || coalesce(fields, plain), chr(30) ORDER BY i) AS sorted, count(fields) AS n FROM f GROUP BY record_id),
+g AS (SELECT plain, max(struct_pack(n := n, s := sorted)) AS form FROM r WHERE n > 0 GROUP BY plain),
+k AS (SELECT record_id, coalesce(g.form.s, r.sorted) AS key FROM r LEFT JOIN g ON r.plain = g.plain)
+SELECT keep_id, record_id AS copy_id FROM (SELECT record_id, min(record_id) OVER (PARTITION BY key) AS keep_id FROM k) WHERE keep_id <> record_id"""
