@@ -16,7 +16,7 @@ from sparkloom.plans import mixture
 from sparkloom.plans import oracle as O
 from sparkloom.plans.config import DialogueRules, MixturePlan, MixtureTarget, SplitSize
 from sparkloom.sources.readers import optional_split
-from sparkloom.sources.tables import table
+from sparkloom.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,7 +131,7 @@ def list_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 def _turns(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
     merged = M.merge_turns(M.normalize_messages(F.col("messages")))
-    rows = table(spark, folder, "dialogue").where("messages is not null")
+    rows = spread(table(spark, folder, "dialogue")).where("messages is not null")
     return rows.select("id", (M.last_turns(merged, most) if most else merged).alias("turns"))
 
 
@@ -167,7 +167,7 @@ def validate_messages(spark: SparkSession, folder: str) -> DataFrame:
 def signatures(spark: SparkSession, folder: str) -> DataFrame:
     """Signatures of records."""
     # The SQL can't normalise compatibility characters.
-    return mixture.pool_of_records(table(spark, folder, "finetune_data"), nfkc=False).select("pos", "user_sig", "full_sig", big(F.size("messages")).alias("turns"))
+    return mixture.pool_of_records(spread(table(spark, folder, "finetune_data")), nfkc=False).select("pos", "user_sig", "full_sig", big(F.size("messages")).alias("turns"))
 
 
 @register("SELECT record_id, (SELECT coalesce(string_agg('<|' || m.role || '|>' || chr(10) || coalesce(m.content, '') || chr(10), '' ORDER BY i), '') FROM (SELECT unnest(messages) AS m, unnest(range(len(messages))) AS i)) || '<|assistant|>' AS text FROM (SELECT * FROM finetune_data WHERE messages IS NOT NULL AND len(list_filter(messages, lambda m: m.role IS NULL)) = 0)")
@@ -190,7 +190,7 @@ def _dialogue_sql(most: int, least: int, source: str, task: str) -> str:
 def build_single_turn(spark: SparkSession, folder: str) -> DataFrame:
     """Short dialogues as examples."""
     rules = DialogueRules(most_messages=3, least_messages=2, drop_provider_openings=True)
-    made = builders.dialogue_examples(table(spark, folder, "dialogue"), [], "consult", "single_turn_consult", rules)
+    made = builders.dialogue_examples(spread(table(spark, folder, "dialogue")), [], "consult", "single_turn_consult", rules)
     return made.select("meta.orig_id", big(F.col("meta.n_messages")).alias("n_messages"), "id")
 
 
@@ -198,7 +198,7 @@ def build_single_turn(spark: SparkSession, folder: str) -> DataFrame:
 def build_multi_turn(spark: SparkSession, folder: str) -> DataFrame:
     """Long dialogues as examples."""
     rules = DialogueRules(most_messages=12, least_messages=4, drop_provider_openings=True)
-    made = builders.dialogue_examples(table(spark, folder, "dialogue"), [], "exam_dialogue", "multi_turn_consult", rules)
+    made = builders.dialogue_examples(spread(table(spark, folder, "dialogue")), [], "exam_dialogue", "multi_turn_consult", rules)
     return made.select("meta.orig_id", big(F.col("meta.n_messages")).alias("n_messages"), "id")
 
 
@@ -312,7 +312,7 @@ _LENIENT = _PRIORITY[:2]
 
 
 def _pool(spark: SparkSession, folder: str) -> DataFrame:
-    return mixture.pool_of_records(table(spark, folder, "finetune_data"), nfkc=False)
+    return mixture.pool_of_records(spread(table(spark, folder, "finetune_data")), nfkc=False)
 
 
 @register(f"WITH {O.POOL}, d AS (SELECT *, row_number() OVER (PARTITION BY source, split, user_sig ORDER BY pos) AS rn FROM pool) SELECT pos, source, split FROM d WHERE rn = 1")
