@@ -8,89 +8,89 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import encode, formatdup, mixing, packing, pairs, pii, readability, splitoverlap, tokenbudget
 from sparkloom.llm.sql import SQL
-from sparkloom.sources.tables import table
+from sparkloom.sources.tables import spread, table
 
 __all__ = ["QUERIES", "SQL"]
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Messages and the kinds of personal information in them."""
-    return pii.pii_kinds(table(spark, folder, "finetune_data"))
+    return pii.pii_kinds(spread(table(spark, folder, "finetune_data")))
 
 
 def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Messages with typed placeholders."""
-    return pii.redact_messages(table(spark, folder, "finetune_data"))
+    return pii.redact_messages(spread(table(spark, folder, "finetune_data")))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Copies hidden by formatting."""
-    return formatdup.format_copies(formatdup.canonical_hashes(table(spark, folder, "finetune_data")))
+    return formatdup.format_copies(formatdup.canonical_hashes(spread(table(spark, folder, "finetune_data"))))
 
 
 def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct records with the number of their copies."""
-    return formatdup.format_groups(formatdup.canonical_hashes(table(spark, folder, "finetune_data")))
+    return formatdup.format_groups(formatdup.canonical_hashes(spread(table(spark, folder, "finetune_data"))))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records and the defects of their answers."""
-    return pairs.pair_defects(table(spark, folder, "finetune_data"))
+    return pairs.pair_defects(spread(table(spark, folder, "finetune_data")))
 
 
 def p4_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Records assigned to sequences of each stage."""
-    return packing.pack_records(table(spark, folder, "finetune_data"), table(spark, folder, "seq_limits"))
+    return packing.pack_records(spread(table(spark, folder, "finetune_data")), table(spark, folder, "seq_limits"))
 
 
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     """How full the sequences of each stage are."""
     limits = table(spark, folder, "seq_limits")
-    return packing.packing_report(packing.pack_records(table(spark, folder, "finetune_data"), limits), limits)
+    return packing.packing_report(packing.pack_records(spread(table(spark, folder, "finetune_data")), limits), limits)
 
 
 def p5_budget(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens per source, language and task."""
-    return tokenbudget.token_budget(table(spark, folder, "finetune_data"))
+    return tokenbudget.token_budget(spread(table(spark, folder, "finetune_data")))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of train and evaluation records that are the same or almost."""
-    return splitoverlap.split_overlaps(table(spark, folder, "finetune_data"))
+    return splitoverlap.split_overlaps(spread(table(spark, folder, "finetune_data")))
 
 
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     """Overlaps per evaluation split and source."""
-    records = table(spark, folder, "finetune_data")
+    records = spread(table(spark, folder, "finetune_data"))
     return splitoverlap.overlap_report(splitoverlap.split_overlaps(records), records)
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of each document."""
-    return encode.encode_texts(table(spark, folder, "documents"))
+    return encode.encode_texts(spread(table(spark, folder, "documents")))
 
 
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """Documents mixed to the target shares."""
     targets = table(spark, folder, "mix_targets")
-    return mixing.mixture(mixing.sized_texts(table(spark, folder, "documents"), targets), targets)
+    return mixing.mixture(mixing.sized_texts(spread(table(spark, folder, "documents")), targets), targets)
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Shares the mixture reaches."""
     targets = table(spark, folder, "mix_targets")
-    sized = mixing.sized_texts(table(spark, folder, "documents"), targets)
+    sized = mixing.sized_texts(spread(table(spark, folder, "documents")), targets)
     return mixing.mixture_shares(mixing.mixture(sized, targets), sized, targets)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Reading bands of the English documents."""
-    return readability.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels")).select("doc_id", "band")
+    return readability.reading_levels(spread(table(spark, folder, "documents")), table(spark, folder, "reading_labels")).select("doc_id", "band")
 
 
 def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     """Held-out errors of the reading bands by source."""
-    return readability.reading_report(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
+    return readability.reading_report(spread(table(spark, folder, "documents")), table(spark, folder, "reading_labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
