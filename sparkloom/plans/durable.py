@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple] = []  # (where the JVM keeps its file systems' settings, the JVM, path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,18 +41,18 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
+    _written.append((spark._jsc.hadoopConfiguration(), spark._jvm, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:
     """Delete the tables written by :func:`durable` so far."""
     while _written:
-        spark, path = _written.pop()
+        settings, jvm, path = _written.pop()
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001 - the session may have ended already
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(settings).delete(where, True)
+        except Exception:  # noqa: BLE001 - the JVM may have ended already
             pass
 
 
