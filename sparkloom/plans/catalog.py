@@ -15,6 +15,7 @@ from sparkloom.operators import builders, chat, classify, dedup, judge, sampling
 from sparkloom.plans import mixture
 from sparkloom.plans import oracle as O
 from sparkloom.plans.config import DialogueRules, MixturePlan, MixtureTarget, SplitSize
+from sparkloom.plans.durable import durable
 from sparkloom.sources.readers import optional_split
 from sparkloom.sources.tables import spread, table
 
@@ -354,7 +355,8 @@ _SPLITS = (SplitSize("clinic_chat", 120, 150, 42), SplitSize("exam_dialog", 40,
 )
 def split_random(spark: SparkSession, folder: str) -> DataFrame:
     """Train, val and test of fixed sizes, test first."""
-    return sampling.split_random(_pool(spark, folder).drop("split"), _SPLITS).select("pos", "source", "split")
+    # Ranks read their rows twice: the texts are cleaned once.
+    return sampling.split_random(durable(_pool(spark, folder).select("pos", "id", "source"), "pool"), _SPLITS).select("pos", "source", "split")
 
 
 _TARGETS = (
@@ -371,7 +373,7 @@ _DRAW = f"""tg(stage, source, target, seed) AS (VALUES {', '.join(f"('{x.stage}'
 @register(f"WITH {O.POOL}, base AS (SELECT * FROM pool WHERE split = 'train'), {_DRAW} SELECT stage, source, pos, CAST(repeat_idx AS BIGINT) AS repeat_idx, id FROM drawn")
 def mixture_draws(spark: SparkSession, folder: str) -> DataFrame:
     """Draws without repetition, and with it, to fixed targets."""
-    drawn = sampling.draw_to_targets(_pool(spark, folder).where("split = 'train'"), _TARGETS)
+    drawn = sampling.draw_to_targets(durable(_pool(spark, folder).where("split = 'train'").select("pos", "id", "source"), "pool"), _TARGETS)
     return drawn.select("stage", "source", "pos", big(F.col("repeat_idx")).alias("repeat_idx"), "id")
 
 
