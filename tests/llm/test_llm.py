@@ -276,6 +276,19 @@ def test_hot_group_of_near_copies(spark, records, monkeypatch):
     assert len(got) < 900 * 2 * splitoverlap.FULL
 
 
+def crowd(n):
+    """Near copies of one text with several filled slots, a quarter of them for evaluation."""
+    rng = random.Random(3)
+    text = "dear {} we write to you about the {} opening hours of our new {} office in the old {} town and ask you to {} call us soon"
+    return [(i, [("user", text.format(*(rng.choice(["", f"s{rng.randrange(60)}", f"t{i}"]) for _ in range(5))))], "val" if i % 4 == 0 else "train") for i in range(n)]
+
+
+def test_every_pair_of_a_crowd_is_found(spark, records):
+    rows = crowd(400)
+    got = {tuple(r) for r in splitoverlap.split_overlaps(records(rows)).collect()}
+    assert got == overlap_truth(rows) and len(got) > 10_000
+
+
 def test_hot_suffixes_are_spread():
     bucket = np.array([7] * 1000 + list(range(100, 200)), np.uint64)
     after = np.ones((1100, 3), np.uint32)
