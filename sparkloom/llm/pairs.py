@@ -297,14 +297,13 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _end_keys(tokens: list[str]) -> list[int]:
-    """Keys of how an answer stops: its last three words, its last two, the word before with the ending of the last, the last."""
+    """Keys of how an answer stops: its last two words, the word before with the ending of the last, the last."""
     last = _plain(tokens[-1])
     two = _plain(tokens[-2]) if len(tokens) > 1 and tokens[-2][-1].isalnum() else "^"
-    three = _plain(tokens[-3]) if two != "^" and len(tokens) > 2 and tokens[-3][-1].isalnum() else "^"
-    return [_key("3", three, two, last), _key("2", two, last), _key("s", two, last[-3:]), _key("1", last)]
+    return [_key("2", two, last), _key("s", two, last[-3:]), _key("1", last)]
 
 
-def _statistics(pairs: Counter, closings: Counter) -> Iterator[pa.RecordBatch]:
+def _statistics(pairs: Counter) -> Iterator[pa.RecordBatch]:
     """Partial counts: how often each end occurs in answers, and how often it closes a sentence."""
     seen: Counter = Counter()
     ended: Counter = Counter()
@@ -316,14 +315,13 @@ def _statistics(pairs: Counter, closings: Counter) -> Iterator[pa.RecordBatch]:
             seen[key] += n
             if closes:
                 ended[key] += n
-    rows = [("stat", None, None, k, None, ended.get(k, 0), n, None) for k, n in seen.items()] + [("final", None, None, k, None, n, 0, None) for k, n in closings.items()]
+    rows = [("stat", None, None, k, None, ended.get(k, 0), n, None) for k, n in seen.items()]
     for a in range(0, len(rows), 50_000):
         yield _rows(rows[a : a + 50_000])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs: Counter = Counter()
-    closings: Counter = Counter()
     for batch in batches:
         rows: list[tuple] = []
         for record_id, messages in zip(batch.column(0).to_pylist(), message_rows(batch)):
@@ -365,7 +363,6 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 is_open = is_open or text[-1] not in _MARKS
                 if is_open:
                     keys = _end_keys(tokens)
-                    closings[keys[0]] += 1
                     # A copy ends as the question does.
                     if not copied and not any(" ".join(map(_plain, tokens[-k:])) in _SIGN_OFFS for k in range(1, 6)):
                         rows += [("open", record_id, None, k, level, None, None, n) for level, k in enumerate(keys)]
@@ -374,15 +371,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows += [("defect", record_id, d, None, None, None, None, None) for d in sorted(found)]
         yield _rows(rows)
         if len(pairs) > HELD:
-            yield from _statistics(pairs, closings)
-            pairs.clear(), closings.clear()
-    yield from _statistics(pairs, closings)
+            yield from _statistics(pairs)
+            pairs.clear()
+    yield from _statistics(pairs)
 
 
 #: An end is complete where at least this share of its occurrences closes a sentence; seen fewer times than these, a shorter end decides.
-ENDS_AT_LEAST, SEEN = 0.15, (4, 4, 4, 4)
-#: So many answers that stop alike without a mark close a letter, not a cut one.
-CLOSINGS = 5
+ENDS_AT_LEAST, SEEN = 0.15, (4, 4, 4)
 
 
 def pair_defects(records: DataFrame, id_col: str = "record_id", messages_col: str = "messages") -> DataFrame:
@@ -394,22 +389,19 @@ def pair_defects(records: DataFrame, id_col: str = "record_id", messages_col: st
     """
     rows = records.select(F.col(id_col).cast("long").alias("record_id"), F.col(messages_col).alias("messages"))
     scanned = durable(rows.mapInArrow(_scan, _DDL), "pairs")
-    stats = scanned.where("kind in ('stat', 'final')").groupBy("key").agg(
-        F.sum("seen").alias("seen"),
-        F.sum(F.when(F.col("kind") == "stat", F.col("ended")).otherwise(0)).alias("ended"),
-        F.sum(F.when(F.col("kind") == "final", F.col("ended")).otherwise(0)).alias("final"),
-    )
+    stats = scanned.where("kind = 'stat'").groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
     ends = scanned.where("kind = 'open'").select("record_id", "key", "level", "answer")
     # A frequent end, as a closing formula, may be a hot key: it is looked up once per distinct key and part of its rows.
     salts = 8
     ends = ends.withColumn("salt", F.pmod(F.xxhash64("record_id", "answer"), F.lit(salts)).cast("int"))
     wanted = ends.select("key", "salt").distinct()
     known = wanted.join(stats, "key", "left")
-    looked = ends.join(known, ["key", "salt"], "left").select("record_id", "answer", "level", F.struct(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("seen", "ended", "final")]).alias("n"))
-    levels = looked.groupBy("record_id", "answer").agg(*[F.max(F.when(F.col("level") == i, F.col("n"))).alias(f"n{i}") for i in range(4)])
+    looked = ends.join(known, ["key", "salt"], "left").select("record_id", "answer", "level", F.struct(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("seen", "ended")]).alias("n"))
+    levels = looked.groupBy("record_id", "answer").agg(*[F.max(F.when(F.col("level") == i, F.col("n"))).alias(f"n{i}") for i in range(3)])
     share = lambda i: F.col(f"n{i}.ended") / F.col(f"n{i}.seen") >= ENDS_AT_LEAST
-    whole = F.when((F.col("n0.final") >= CLOSINGS) & (F.col("n0.final") > 0.05 * F.col("n1.seen")), F.lit(True))
-    for i in range(1, 4):
-        whole = whole.when(F.col(f"n{i}.seen") >= SEEN[i], share(i))
-    cut = levels.where(~whole.otherwise(F.lit(False))).select("record_id", F.lit("truncated").alias("defect"))
+    # However many answers stop alike, their own ends say nothing: copies of a cut answer, or cuts of one template, do so too.
+    whole = F.lit(False)
+    for i in (2, 1, 0):
+        whole = F.when(F.col(f"n{i}.seen") >= SEEN[i], share(i)).otherwise(whole)
+    cut = levels.where(~whole).select("record_id", F.lit("truncated").alias("defect"))
     return scanned.where("kind = 'defect'").select("record_id", "defect").unionByName(cut).distinct()

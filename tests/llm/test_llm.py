@@ -121,6 +121,13 @@ def test_truncated(spark, records):
     assert pairs.pair_defects(records([]).limit(0)).count() == 0
 
 
+def test_truncated_alike(spark, records):
+    whole = ["Rest the knee for a week. Then keep a food diary.", "It helps to keep a food diary. Call me."]
+    ends = ["Rest now. You should keep a foo"] * 6 + [f"Do {i} things. 3. Please take the" for i in range(8)]  # one cut answer delivered again, and cuts of a template
+    got = defects(spark, records, *[[("user", Q), ("assistant", t)] for t in whole * 5 + ends])
+    assert got == [set()] * 10 + [{"truncated"}] * 14
+
+
 def test_refusals():
     assert pairs.is_refusal("Unfortunately, my guidelines prevent me from replying, and I hope you understand.")
     assert pairs.is_refusal("Lo siento, pero no me es posible opinar sobre la artrosis. Gracias por su comprensión.")
