@@ -296,6 +296,14 @@ def test_every_pair_of_a_crowd_is_found(spark, records):
     assert got == overlap_truth(rows) and len(got) > 10_000
 
 
+def test_pairs_of_a_crowd_do_not_depend_on_batches(spark, records, monkeypatch):
+    rows = crowd(300)
+    df = records(rows)
+    monkeypatch.setattr(splitoverlap, "SALT_ROWS", 50)  # words of the crowd are dealt to several partitions
+    got = [{tuple(r) for r in splitoverlap.split_overlaps(x).collect()} for x in (df.coalesce(1), df.repartition(3, "record_id"), df.orderBy("split").coalesce(2))]
+    assert got == [overlap_truth(rows)] * 3
+
+
 def test_hot_suffixes_are_spread():
     bucket = np.array([7] * 1000 + list(range(100, 200)), np.uint64)
     after = np.ones((1100, 3), np.uint32)
