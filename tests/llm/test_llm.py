@@ -304,6 +304,18 @@ def test_pairs_of_a_crowd_do_not_depend_on_batches(spark, records, monkeypatch):
     assert got == [overlap_truth(rows)] * 3
 
 
+def test_changed_words_are_the_rarest(spark, records):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(40):  # 12 to 19 of 100 words replaced by words that occur once
+        words = [rng.choice(vocabulary) for _ in range(180)]
+        places = set(rng.sample(range(180), 22 + i % 13))
+        rows += [(2 * i, [("user", " ".join(words))], "train"), (2 * i + 1, [("user", " ".join(f"x{i}y{k}" if k in places else w for k, w in enumerate(words)))], "test")]
+    got = {tuple(r) for r in splitoverlap.split_overlaps(records(rows)).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(40)}
+
+
 def test_hot_suffixes_are_spread():
     bucket = np.array([7] * 1000 + list(range(100, 200)), np.uint64)
     after = np.ones((1100, 3), np.uint32)
