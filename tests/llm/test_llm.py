@@ -316,6 +316,12 @@ def test_changed_words_are_the_rarest(spark, records):
     assert got == {(2 * i, 2 * i + 1) for i in range(40)}
 
 
+def test_short_records(spark, records):
+    rows = [(i, [("user", " ".join(f"r{i // 2}w{k}" if k != n // 2 or i % 2 else f"new{i}" for k in range(n)))], "val" if i % 2 else "train") for n in (5, 6, 7, 9, 10) for i in (2 * n, 2 * n + 1)]
+    got = {tuple(r) for r in splitoverlap.split_overlaps(records(rows)).collect()}
+    assert got == overlap_truth(rows) == {(2 * n, 2 * n + 1) for n in (5, 6, 7, 9, 10)}
+
+
 def test_hot_suffixes_are_spread():
     bucket = np.array([7] * 1000 + list(range(100, 200)), np.uint64)
     after = np.ones((1100, 3), np.uint32)
