@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import xxhash
@@ -184,8 +185,8 @@ _DIGITS = re.compile(r"\d+")
 def _nothing(content: str | None) -> bool:
     if not content:
         return True
-    if len(content) > 60:
-        return not any(c.isalnum() for c in content)
+    if len(list(islice(filter(str.isalnum, content), 61))) > 60:  # more letters than any stand-in has
+        return False
     plain = "".join(words(fold(content)))
     return not plain or plain in STAND_INS
 
@@ -197,14 +198,20 @@ def _aligned(sentence: list[str], template: tuple[str, ...], least: float = 0.8)
     return len(fixed) * least <= len(sentence) <= len(fixed) + free and lcs_length(sentence, fixed) >= least * len(fixed)
 
 
+def _sentences(text: str) -> Iterator[str]:
+    """The sentences and lines of a text, one after another: the first that says something else ends the look at a long answer."""
+    start = 0
+    for end in _SENTENCE.finditer(text):
+        yield text[start : end.start()]
+        start = end.end()
+    yield text[start:]
+
+
 def is_refusal(content: str) -> bool:
     """Whether an answer declines and gives nothing else: each sentence aligns with a refusal or a courtesy, at least one with a refusal."""
-    if len(content) > 400:  # templates and courtesies around them are shorter
-        return False
     folded = fold(content.replace("’", "'"))
     declined = False
-    for part in _SENTENCE.split(folded):
-        sentence = words(part)
+    for sentence in map(words, _sentences(folded)):
         if not sentence:
             continue
         if any(_aligned(sentence, c) for c in COURTESIES) and not any(_aligned(sentence, r, 1.0) for r in REFUSALS):

@@ -135,6 +135,13 @@ def test_refusals():
     assert not pairs.is_refusal("I can't help with that request. But try some rest for the knee, and drink more water.")
 
 
+def test_long_refusals_and_stand_ins():
+    assert pairs.is_refusal("I can't help with that request." + " " * 400 + "Please see a doctor.")
+    assert pairs.is_refusal("I am sorry. I can't help with that request. " + "Thank you for your message. Please consult a qualified professional. " * 8)
+    assert not pairs.is_refusal("I can't help with that request. " + "But try some rest for the knee. " * 20)
+    assert pairs._nothing("\n" * 50 + " N/A " + " " * 50) and pairs._nothing("-" * 80) and not pairs._nothing("rest " * 30)
+
+
 # --- p3 -------------------------------------------------------------------------------
 
 
