@@ -2,8 +2,11 @@
 
 One Aho-Corasick pass over the folded text finds anchors: at-signs and their spelled
 forms, titles, given names, and cues that announce a name, number or address. Runs of
-digits are anchors too. From each anchor a deterministic local parser reads outwards,
-validates the shape and fixes both ends. The rest of the text stays as it is.
+digits are anchors too. Names are read outwards from their anchors. Ids are shapes of the
+whole text, chosen by their distance from a cue. For emails, addresses and spelled phones
+an anchor switches on regexes over the whole text; phones in digits and strong id shapes
+are sought wherever six digits stand. Shapes are validated and both ends fixed. The rest
+of the text stays as it is.
 
 Kinds: ``email``, ``phone``, ``idnum``, ``address``, ``name``.
 """
