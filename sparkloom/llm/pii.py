@@ -1,12 +1,12 @@
 """Personal information inside free text: find it, replace it with typed placeholders.
 
-One Aho-Corasick pass over the folded text finds anchors: at-signs and their spelled
-forms, titles, given names, and cues that announce a name, number or address. Runs of
-digits are anchors too. Names are read outwards from their anchors. Ids are shapes of the
-whole text, chosen by their distance from a cue. For emails, addresses and spelled phones
-an anchor switches on regexes over the whole text; phones in digits and strong id shapes
-are sought wherever six digits stand. Shapes are validated and both ends fixed. The rest
-of the text stays as it is.
+One Aho-Corasick pass over the folded text finds all anchors: at-signs and their spelled
+forms, digits, spelled digits, street words, postal boxes, titles, given names, initials,
+line starts, and cues that announce a name, number or address. Local parsers read from an
+anchor to both sides, within bounds that no address, number or name exceeds, and validate
+what they find: labels of a domain, check digits of cards and accounts, octets, the
+distance of an id from its cue. So a text costs a multiple of its length plus its
+anchors, whatever stands in it. The rest of the text stays as it is.
 
 Kinds: ``email``, ``phone``, ``idnum``, ``address``, ``name``.
 """
@@ -14,6 +14,7 @@ Kinds: ``email``, ``phone``, ``idnum``, ``address``, ``name``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -41,7 +42,8 @@ NAME_CUES = (
     "my name is|name is|i am called|they call me|signed by|seen by|this is about|patient:|patient name:|name:|spoke with|spoken with|talked to|notes from|on file for|"
     "letter to|told by|treated by|referred by|written by|copied to|my boss|my colleague|my neighbour|my friend|my husband|my wife|after the fall|went to see|"
     "je m'appelle|je m’appelle|mon nom est|suivi par|reçu par|écrivez à|schreiben sie an|escriba a|vu|contacte a|me llamo|mi nombre es|me atendió|me trató|atendido por|mein name ist|ich heiße|ich heisse|behandelt hat mich|"
-    "behandelt von|unterschrieben von|as|so|with|i,|dear|hello|hi|regards,|regards,,|sincerely,|wishes,"
+    "behandelt von|unterschrieben von|patient|client|customer|resident|employee|witness|named|called|contact|my mother|my father|my son|my daughter|my brother|my partner|paciente|cliente|mi madre|mi padre|mi hijo|mi hija|"
+    "patiente|ma mère|mon père|mon fils|ma fille|patientin|kunde|kundin|meine mutter|mein vater|mein sohn|meine tochter|as|so|with|i,|dear|hello|hi|regards,|regards,,|sincerely,|wishes,"
 ).split("|")
 #: What follows a name.
 AFTER_CUES = (
@@ -76,20 +78,28 @@ NOT_NAMES = frozenset(
     ).split()
 )
 
-_UP = "A-ZÀ-ÖØ-Þ"
-_LOW = "a-zß-öø-ÿ"
+_EXTENDED = [chr(c) for c in range(0x100, 0x180)]
+_UP = "A-ZÀ-ÖØ-ÞА-ЯЁ" + "".join(filter(str.isupper, _EXTENDED))
+_LOW = "a-zß-öø-ÿа-яё" + "".join(filter(str.islower, _EXTENDED))
 _CAP = rf"[{_UP}][{_LOW}{_UP}’']+"
 _ONE = rf"(?:{_CAP}(?:-{_CAP})*|[{_UP}]\.)"
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Doctor|Professor|Herr|Frau|Señora?|Sra?|Srta|Dra|Doña|Monsieur|Madame|Mme|Mlle|Docteur|Doktor|Nurse|Sister)"
 _NAME = re.compile(rf"(?:(?i:{_TITLE})\b\.?[ \xa0]+)*{_ONE}(?:,?[ \xa0]+{_ONE}){{0,2}}")
 _WORD = re.compile(rf"[{_UP}{_LOW}’'-]+")
-_EMAIL = re.compile(r"[\w.%+'-]*[\w%+-]\s?(?:@|＠|&#64;)\s?[\w-]+(?:\s?\.\s?[\w-]+)*\.[A-Za-z][\w-]*")
+#: Characters of the local part of an email besides letters, digits and underscores; its greatest length and that of a domain and its labels.
+_LOCAL_MARKS, LOCAL_MOST, DOMAIN_MOST, LABEL_MOST = "._%+'-", 64, 255, 63
+_DOMAIN = re.compile(r"\s?[\w-]+(?:\s?\.\s?[\w-]+)*\.[A-Za-z][\w-]*")
+_AT_WORDS = ("at", "arroba", "arobase")
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punto|point|punkt)\s*[\])}>]\s*|\s+(?:dot|punto|point|punkt)\s+)"
 _LOCAL = rf"[\w%+-]+(?:(?:\.|{_DOT})[\w%+-]+)*"
-_SPELLED_EMAILS = (
-    re.compile(rf"{_LOCAL}\s*[\[({{<]\s*(?:at|arroba|arobase)\s*[\])}}>]\s*[\w-]+(?:(?:\.|{_DOT})[\w-]+)+", re.I),
-    re.compile(rf"{_LOCAL}(?:\s+(?:at|arroba|arobase)\s+|\s?@\s?)[\w-]+(?:\.[\w-]+)*{_DOT}[\w-]+(?:(?:\.|{_DOT})[\w-]+)*(?![\w-]|\s+(?:at|arroba|arobase)\s+[\w-]+{_DOT})", re.I),
-)
+_LOCAL_BEFORE = re.compile(rf"{_LOCAL}\s*\Z", re.I)
+_SPELLED_DOMAIN = rf"[\w-]+(?:\.[\w-]+)*{_DOT}[\w-]+(?:(?:\.|{_DOT})[\w-]+)*(?![\w-]|\s+(?:at|arroba|arobase)\s+[\w-]+{_DOT})"
+#: What follows a spelled at-sign in brackets, one between spaces, and a real one.
+_AFTER_AT = {
+    "bracketed at": re.compile(rf"\s*[\])}}>]\s*[\w-]+(?:(?:\.|{_DOT})[\w-]+)+", re.I),
+    "spelled at": re.compile(rf"\s+{_SPELLED_DOMAIN}", re.I),
+    "at": re.compile(rf"\s?{_SPELLED_DOMAIN}", re.I),
+}
 _NUMBER = re.compile(r"(?<![\w.,/-])(?:\+ ?|00 ?)?\(?\d[\d().\-/ \t\xa0‐-–]{5,24}\d(?![\d\w])|(?<![\w.,/-])\+?\d{9,14}(?![\d\w])")
 _EXT = re.compile(r"\s*(?:,?\s*(?:ext|extension|x|anexo|poste|durchwahl)\.?\s*\d{1,5})", re.I)
 _ID_SHAPE = re.compile(
@@ -101,14 +111,28 @@ _STRONG_ID = re.compile(r"(?<![\w-])(?:MRN:?\s?[\d-]{6,12}|[A-Z]{2}-\d{4}-\d{2}-
 _SPELLED = [rf"(?:{'|'.join(ws)})" for ws in DIGIT_WORDS]
 _SPELLED_PHONE = re.compile("|".join(rf"\b{w}(?:[\s,.\-]+{w}){{6,14}}\b" for w in _SPELLED), re.I)
 _TOWN = rf"(?:[ \xa0]*,?\s*(?:Apt\.?|Flat|Unit|Suite|Floor)\s*\w{{1,5}})?(?:,?\s*(?:\d{{4,5}}\s+)?{_CAP}(?:\s\d{{5}})?)?"
-_ADDRESSES = [
-    re.compile(rf"(?:(?:Flat|Apt\.?|Unit|Suite)\s*\w{{1,4}},?\s*)?(?<![\w.])\d{{1,5}}[A-Za-z]?[ \xa0]+(?:{_CAP}[ \xa0]+){{1,3}}(?i:{STREET_EN})\b\.?{_TOWN}"),
-    re.compile(rf"(?<![\w.])\d{{1,5}}(?:\s(?:bis|ter))?,?\s+(?:{STREET_FR})\s+(?:(?:de|du|des|la|le|l['’]|d['’])\s*)*[{_UP}{_LOW}][\w’'-]+(?:,?\s*\d{{5}}\s+{_CAP})?", re.I),
-    re.compile(rf"(?:(?<!\w)(?:{STREET_ES})\.?\s+)(?:(?:de|del|la|las|los|el)\s+)*(?:[{_UP}{_LOW}][\w’'-]+\s+){{0,2}}[{_UP}{_LOW}][\w’'-]+,?\s+(?:n[.º°]\s?)?\d{{1,4}}(?:,\s*\d{{1,2}}\s?[º°ªo]?\s?\w?)?(?:,?\s*\d{{5}}\s+{_CAP})?", re.I),
-    re.compile(rf"(?<!\w)[{_UP}{_LOW}][\w’'-]*(?:{STREET_DE})\.?\s+\d{{1,4}}\s?[a-z]?\b(?:,?\s*\d{{5}}\s+{_CAP})?", re.I),
-    re.compile(rf"(?<!\w)(?:P\.?\s?O\.?\s?Box|Post(?:al)?\s+Box|Postfach|Apartado(?:\s+de\s+correos)?|Boîte\s+postale|B\.?P\.?)\s+\d{{1,6}}(?:,?\s*(?:\d{{4,5}}\s+)?{_CAP}(?:\s\d{{5}})?)?", re.I),
-]
-_SHOUTED_ADDRESS = re.compile(rf"(?<![\w.])\d{{1,5}}[ \xa0]+(?:[A-Za-z’'-]{{3,}}[ \xa0]+){{1,2}}(?:street|road|avenue|lane|court|boulevard|rd|ave)\b\.?", re.I)
+_ZIP_TOWN = rf"(?:,?\s*\d{{5}}\s+{_CAP})?"
+#: What stands before and after the start of a street word, by the language of its form.
+_BEFORE_STREET = {
+    "street en": re.compile(rf"(?:(?:Flat|Apt\.?|Unit|Suite)\s*\w{{1,4}},?\s*)?(?<![\w.])\d{{1,5}}[A-Za-z]?[ \xa0]+(?:{_CAP}[ \xa0]+){{1,3}}\Z"),
+    "street fr": re.compile(r"(?<![\w.])\d{1,5}(?:\s(?:bis|ter))?,?\s+\Z", re.I),
+}
+_FROM_STREET = {
+    "street en": re.compile(rf"(?i:{STREET_EN})\b\.?{_TOWN}"),
+    "street fr": re.compile(rf"(?:{STREET_FR})\.?\s+(?:(?:de|du|des|la|le|l['’]|d['’])\s*)*[{_UP}{_LOW}][\w’'-]+{_ZIP_TOWN}", re.I),
+    "street es": re.compile(rf"(?:{STREET_ES})\.?\s+(?:(?:de|del|la|las|los|el)\s+)*(?:[{_UP}{_LOW}][\w’'-]+\s+){{0,2}}[{_UP}{_LOW}][\w’'-]+,?\s+(?:n[.º°]\s?)?\d{{1,4}}(?:,\s*\d{{1,2}}\s?[º°ªo]?\s?\w?)?{_ZIP_TOWN}", re.I),
+    "street de": re.compile(rf"(?:{STREET_DE})\.?\s+\d{{1,4}}\s?[a-z]?\b{_ZIP_TOWN}", re.I),
+}
+_BOX = re.compile(
+    rf"(?<!\w)(?:P\.?\s?O\.?\s?Box|Post(?:al)?\s+Box|Postfach|Apartado(?:\s+de\s+correos)?|Boîte\s+postale|B\.?P\.?(?!\s+\d+\s*(?:/|over\b|sobre\b|sur\b|zu\b|mm)))\s+\d{{1,6}}(?:,?\s*(?:\d{{4,5}}\s+)?{_CAP}(?:\s\d{{5}})?)?", re.I
+)
+#: The same street words where the whole text has one case.
+_BEFORE_SHOUTED = re.compile(r"(?<![\w.])\d{1,5}[ \xa0]+(?:[A-Za-z’'-]{3,}[ \xa0]+){1,2}\Z")
+_SHOUTED = re.compile(r"(?:street|road|avenue|lane|court|boulevard|rd|ave)\b\.?", re.I)
+#: How far an address, a spelled email and a name may reach from their anchor.
+REACH = 120
+_CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")
+_ACCOUNT = re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -118,14 +142,24 @@ def _automaton() -> ahocorasick.Automaton:
         found.setdefault(word, set()).add(tag)
 
     for w in ("@", "＠", "&#64;"):
-        add(w, "email")
-    for w in (" dot ", "(dot)", "[dot]", " punto ", " punkt ", " arroba ", " arobase ", "(at)", "[at]", "{at}"):
-        add(w, "spelled email")
+        add(w, "at")
+    for w in _AT_WORDS:
+        for bracket in "[({<":
+            add(bracket + w, "bracketed at")
+            add(bracket + " " + w, "bracketed at")
+        for space in " \n\t\xa0":
+            add(space + w, "spelled at")
+    for d in "0123456789":
+        add(d, "digit")
     for words in DIGIT_WORDS:
         for a in words:
             for b in words:
                 for sep in (" ", ", ", "-"):
-                    add(a + sep + b, "spelled phone")
+                    add(a + sep + b, "spelled digits")
+    for c in map(chr, range(ord("a"), 0x100)):
+        if c.islower():
+            add(c + ".", "initial")
+    add("\n", "line")
     for w in TITLES:
         add(w + " ", "title")
         add(w + ". ", "title")
@@ -142,17 +176,14 @@ def _automaton() -> ahocorasick.Automaton:
     for w in PHONE_CUES:
         add(w, "phone")
     for w in STREET_EN.split("|"):
-        for end in " .,\n":
-            add(f" {w}{end}", "address")
-        add(" " + w, "address at the end")
-    for w in STREET_FR.split("|") + STREET_ES.split("|"):
-        add(w + " ", "address")
-        add(w + ". ", "address")
-    for w in STREET_DE.split("|"):
-        add(w + " ", "address")
-        add(w + ". ", "address")
-    for w in ("box ", "postfach", "apartado", "postale", "bp "):
-        add(w, "address")
+        for end in " .,\n\t\r\xa0;:)!?'\"":
+            add(w + end, "street en")
+    for kind, streets in (("fr", STREET_FR), ("es", STREET_ES), ("de", STREET_DE)):
+        for w in streets.split("|"):
+            for end in (" ", ". ", "\n", "\xa0"):
+                add(w + end, f"street {kind}")
+    for w in ("box ", "postfach", "apartado", "postale", "bp ", "b.p. ", "bp. "):
+        add(w, "box")
     out = ahocorasick.Automaton()
     for w, tags in found.items():
         out.add_word(w, (len(w), tuple(tags)))
@@ -163,21 +194,22 @@ def _automaton() -> ahocorasick.Automaton:
 _AUTOMATON = _automaton()
 _WEAK_CUES = ("as", "so", "with", "hi", "hello", "dear")
 _ROLES = ("nurse", "sister", "doctor", "docteur", "doktor", "professor")
-_SIGNATURE = re.compile(rf"(?:^|\n)[ \t]*({_ONE}(?:,?[ \xa0]+{_ONE}){{1,2}})[ \t]*(?=\n|\Z|\()")
+_SIGNATURE = re.compile(rf"[ \t]*({_ONE}(?:,?[ \xa0]+{_ONE}){{1,2}})[ \t]*(?=\n|\Z|\()")
 _TITLE_SET = frozenset(TITLES)
+#: English words that end as a German street name does; in lower case such an end alone is none.
+_ENGLISH_TOO, _ENGLISH_WORDS = ("ring", "str"), frozenset("during bring string spring monitoring scoring measuring wearing hearing offering entering considering".split())
 _AFTER_NAME = re.compile(r"['’]s?\b|\s+(?:\w+\s+)?(?:scale|sign|disease|syndrome|test|index|score|criteria|classification|protocol|method|maneuver)\b", re.I)
 _PARTS = re.compile(rf"{_ONE}(?:,?[ \xa0]+{_ONE}){{0,2}}")
-_INITIAL = re.compile(rf"(?<![\w.])[{_UP}]\.[ \xa0]?({_CAP}(?:-{_CAP})*)")
+_AFTER_INITIAL = re.compile(rf"[ \xa0]?({_CAP}(?:-{_CAP})*)")
 _SURNAME_BEFORE = re.compile(rf"({_CAP}(?:-{_CAP})*),[ \xa0]+\Z")
 _NAME_BEFORE = re.compile(rf"(?<![\w-])({_CAP}(?:-{_CAP})*(?:,?[ \xa0]+{_ONE}){{1,2}})\Z")
 _NOT_AN_ID = re.compile(r"(?:lot|batch|protocol|form|page|code|room|chapter|ref|version)\W+\Z", re.I)
-_MANY_DIGITS = re.compile(r"\d\D{0,3}\d\D{0,3}\d\D{0,3}\d\D{0,3}\d\D{0,3}\d")
 _LOWER_SURNAME = re.compile(rf"[ \xa0]+([{_LOW}][{_LOW}'’-]{{3,}})")
-_TWO_CAPITALS = re.compile(rf"[{_UP}][{_LOW}{_UP}]*\W+[{_UP}][{_LOW}{_UP}]*\W")
+_TWO_CAPITALS = re.compile(rf"(?<![{_UP}{_LOW}])[{_UP}][{_LOW}{_UP}]*\W+[{_UP}][{_LOW}{_UP}]*\W")
 _GROUP = re.compile(r"\d+")
+_MORE_INITIALS = re.compile(rf"[ \xa0]+[{_UP}]\.")
 
 Span = tuple[int, int, str]
-Tags = dict[str, list[tuple[int, int]]]
 
 
 def _valid_name(text: str, start: int, end: int, lone: bool) -> tuple[int, int] | None:
@@ -197,35 +229,79 @@ def _valid_name(text: str, start: int, end: int, lone: bool) -> tuple[int, int]
     last = kept[-1][1]
     if last < len(text) and text[last] == "." and len(kept[-1][2]) == 1:
         last += 1
-    return (kept[0][0], last) if not _AFTER_NAME.match(text, last) else None
+    return (kept[0][0], last) if not _AFTER_NAME.match(text, last, last + REACH) else None
+
+
+class _Anchors:
+    """The anchors of a text by kind, in order, with what is taken of the text already."""
+
+    def __init__(self, text: str) -> None:
+        folded = text.lower()
+        if len(folded) != len(text):  # a few capitals grow when folded
+            folded = "".join(low if len(low := c.lower()) == 1 else c for c in text)
+        self.text, self.folded = text, folded
+        self.at: dict[str, list[tuple[int, int]]] = {}
+        for end, (length, kinds) in _AUTOMATON.iter(folded + "\n"):
+            for kind in kinds:
+                self.at.setdefault(kind, []).append((end + 1 - length, end + 1))
+        self._ends: dict[str, list[int]] = {}
+        self._taken: bytearray | None = None
+        self.spans: list[Span] = []
+
+    def __getitem__(self, kind: str) -> list[tuple[int, int]]:
+        return self.at.get(kind, [])
+
+    def before(self, kind: str, at: int, most: int) -> int:
+        """Where the last anchor of this kind ends at most so far before ``at`` (or one behind it), or -1."""
+        if kind not in self._ends:
+            self._ends[kind] = sorted(e for _, e in self[kind])
+        ends = self._ends[kind]
+        i = bisect_right(ends, at + 1) - 1
+        return ends[i] if i >= 0 and ends[i] >= at - most else -1
+
+    def runs(self, kind: str, gap: int) -> Iterator[tuple[int, int, int]]:
+        """(start, end, anchors) of runs of anchors of this kind with at most ``gap`` characters between two."""
+        start = end = n = 0
+        for s, e in self[kind]:
+            if n and s - end > gap:
+                yield start, end, n
+                n = 0
+            if not n:
+                start, end = s, e
+            n += 1
+            end = max(end, e)
+        if n:
+            yield start, end, n
+
+    def free(self, start: int, end: int) -> bool:
+        """Whether no piece found so far overlaps this one."""
+        return self._taken is None or self._taken.find(1, start, end) < 0
+
+    def next_taken(self, start: int) -> int:
+        """Where the next piece found so far begins: a name ends before it."""
+        at = -1 if self._taken is None else self._taken.find(1, start)
+        return len(self.text) if at < 0 else at
+
+    def keep(self, spans: list[Span]) -> None:
+        """Add pieces, and mark them as taken."""
+        if spans and self._taken is None:
+            self._taken = bytearray(len(self.text))
+        for s, e, _ in spans:
+            self._taken[s:e] = b"\x01" * (e - s)
+        self.spans += spans
 
 
 def find_pii(text: str) -> list[Span]:
     """(start, end, kind) of each piece of personal information in ``text``, in order and not overlapping."""
-    folded = text.lower()
-    if len(folded) != len(text):  # a few capitals grow when folded
-        folded = "".join(low if len(low := c.lower()) == 1 else c for c in text)
-    tags: Tags = {}
-    for end, (length, kinds) in _AUTOMATON.iter(folded):
-        for kind in kinds:
-            tags.setdefault(kind, []).append((end + 1 - length, end + 1))
-    spans: list[Span] = []
-    if "email" in tags:
-        spans += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
-    if "spelled email" in tags:
-        for shape in _SPELLED_EMAILS:
-            spans += [(m.start(), m.end(), "email") for m in shape.finditer(text) if not _inside(spans, m.start(), m.end())]
-    numbered = _MANY_DIGITS.search(text)
-    if "address" in tags or any(e == len(text) for _, e in tags.get("address at the end", ())):
-        for shape in _ADDRESSES:
-            spans += [(m.start(), m.end(), "address") for m in shape.finditer(text)]
-        if text.isupper() or text.islower():
-            spans += [(m.start(), m.end(), "address") for m in _SHOUTED_ADDRESS.finditer(text)]
-    if numbered:
-        spans += _numbers(text, tags, spans)
-    if "spelled phone" in tags:
-        spans += [(m.start(), m.end(), "phone") for m in _SPELLED_PHONE.finditer(text)]
-    spans += _names(text, folded, tags, spans)
+    anchors = _Anchors(text)
+    anchors.keep(_emails(anchors))
+    anchors.keep(_spelled_emails(anchors))
+    addresses = _addresses(anchors)
+    numbers = _numbers(anchors) if any(n >= 6 for *_, n in anchors.runs("digit", 3)) else []
+    anchors.keep(addresses)
+    anchors.keep(numbers)
+    anchors.keep(_spelled_phones(anchors))
+    spans = anchors.spans + _names(anchors)
     if len(spans) < 2:
         return spans
     spans.sort(key=lambda s: (s[0], -s[1]))
@@ -236,59 +312,184 @@ def find_pii(text: str) -> list[Span]:
     return out
 
 
-def _near(tags: Tags, tag: str, at: int, before: int = 40) -> int:
-    """Where the last cue of this kind ends before ``at``, or -1."""
-    return max((e for _, e in tags.get(tag, ()) if at - before <= e <= at + 1), default=-1)
+def _emails(anchors: _Anchors) -> list[Span]:
+    """From each at-sign the local part to the left, the domain to the right."""
+    text, out, done = anchors.text, [], 0
+    for s, e in anchors["at"]:
+        domain = _DOMAIN.match(text, e, e + DOMAIN_MOST)
+        if s < done or not domain:
+            continue
+        end = domain.start() + len(domain[0].rstrip("-"))
+        if any(not 0 < len(label) <= LABEL_MOST or "-" in (label[0], label[-1]) for label in map(str.strip, text[domain.start() : end].split("."))):
+            continue
+        edge = s - 1 if s > done and text[s - 1].isspace() else s
+        start, least = edge, max(done, edge - LOCAL_MOST)
+        while start > least and (text[start - 1].isalnum() or text[start - 1] == "_" or text[start - 1] in _LOCAL_MARKS):
+            start -= 1
+        while start < edge and text[start] in ".'":
+            start += 1
+        if start < edge and text[edge - 1] not in ".'":
+            out.append((start, end, "email"))
+            done = end
+    return out
 
 
-def _inside(spans: list[Span], start: int, end: int) -> bool:
-    return any(s < end and start < e for s, e, _ in spans)
+def _spelled_emails(anchors: _Anchors) -> list[Span]:
+    """From each spelled at-sign, or real one with a spelled dot after it."""
+    text, out, done = anchors.text, [], 0
+    for kind, after in _AFTER_AT.items():
+        for s, e in anchors[kind]:
+            domain = after.match(text, e, e + DOMAIN_MOST)
+            local = domain and _LOCAL_BEFORE.search(text, max(0, s - REACH), s)
+            if local and anchors.free(local.start(), domain.end()):
+                out.append((local.start(), domain.end(), "email"))
+    out.sort()
+    kept: list[Span] = []
+    for span in out:
+        if span[0] >= done:
+            kept.append(span)
+            done = span[1]
+    return kept
+
+
+def _addresses(anchors: _Anchors) -> list[Span]:
+    """From each street word the house number, name and town around it; from each word for a postal box its number."""
+    text, out = anchors.text, []
+    one_case = text.isupper() or text.islower()
+    for kind, before in _BEFORE_STREET.items():
+        for s, _ in anchors[kind]:
+            if s and not text[s - 1].isspace():
+                continue
+            head = before.search(text, max(0, s - REACH), s)
+            tail = head and _FROM_STREET[kind].match(text, s, s + REACH)
+            if tail:
+                out.append((head.start(), tail.end(), "address"))
+            if one_case and kind == "street en":
+                head = _BEFORE_SHOUTED.search(text, max(0, s - REACH), s)
+                tail = head and _SHOUTED.match(text, s)
+                if tail:
+                    out.append((head.start(), tail.end(), "address"))
+    for s, _ in anchors["street es"]:
+        m = None if s and (text[s - 1].isalnum() or text[s - 1] == "_") else _FROM_STREET["street es"].match(text, s, s + REACH)
+        if m:
+            out.append((*m.span(), "address"))
+    for s, e in anchors["street de"]:
+        tail = _FROM_STREET["street de"].match(text, s, s + REACH)
+        if not tail:
+            continue
+        start = s
+        while start > max(0, s - REACH) and (text[start - 1].isalnum() or text[start - 1] in "_’'-"):
+            start -= 1
+        while start < s and not text[start].isalpha():
+            start += 1
+        end = anchors.folded[s:e].strip(". \n\xa0")
+        if start < s and (end not in _ENGLISH_TOO or (text[start].isupper() and anchors.folded[start:s] + end not in _ENGLISH_WORDS)):
+            out.append((start, tail.end(), "address"))
+    for s, e in anchors["box"]:
+        for m in _BOX.finditer(text, max(0, s - 16), e + REACH):
+            if m.start() <= s < m.end():
+                out.append((*m.span(), "address"))
+                break
+    return out
+
+
+def _spelled_phones(anchors: _Anchors) -> list[Span]:
+    """Runs of spelled digits."""
+    out = []
+    for start, end, n in anchors.runs("spelled digits", 12):
+        if n > 2:
+            out += [(m.start(), m.end(), "phone") for m in _SPELLED_PHONE.finditer(anchors.text, max(0, start - 12), end + 12)]
+    return out
 
 
 def _looks_like_phone(raw: str) -> bool:
     groups = _GROUP.findall(raw)
     digits = sum(map(len, groups))
-    if not 9 <= digits <= 15:
+    if not 9 <= digits <= 15 or (raw.count(".") == 3 == len(groups) - 1 and all(len(g) <= 3 and int(g) <= 255 for g in groups)):  # four octets are a machine's address
         return False
-    return raw[0] in "+0(" or (len(groups) == 1 and digits >= 10) or (len(groups) >= 3 and len(groups[-1]) >= 2 and groups[0] != "999")
-
-
-def _numbers(text: str, tags: Tags, taken: list[Span]) -> list[Span]:
-    out: list[Span] = [(m.start(), m.end(), "idnum") for m in _STRONG_ID.finditer(text) if not _inside(taken, m.start(), m.end())]
-    if "id" in tags:
-        for m in _ID_SHAPE.finditer(text):
+    return raw[0] in "+0(" or (len(groups) == 1 and digits >= 10) or (len(groups) >= 3 and len(groups[-1]) >= 2)
+
+
+def _is_card(raw: str) -> bool:
+    """Whether the last digit checks the others, as it does in numbers of cards."""
+    digits = [int(c) for c in raw if c.isdigit()]
+    doubled = sum(digits[-1::-2]) + sum(sum(divmod(2 * d, 10)) for d in digits[-2::-2])
+    return doubled % 10 == 0 and len(set(digits)) > 1
+
+
+def _is_account(raw: str) -> bool:
+    """Whether the two digits after the country check the rest, as they do in international account numbers."""
+    plain = raw.replace(" ", "")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def _numbers(anchors: _Anchors) -> list[Span]:
+    """From each run of digits the shape around it: ids by shape or by their distance from a cue, cards and accounts by their check digits, phones."""
+    text, out = anchors.text, []
+    mine = bytearray(len(text))
+
+    def take(start: int, end: int, kind: str) -> None:
+        out.append((start, end, kind))
+        mine[start:end] = b"\x01" * (end - start)
+
+    def free(start: int, end: int) -> bool:
+        return mine.find(1, start, end) < 0 and anchors.free(start, end)
+
+    windows: list[tuple[int, int, int]] = []
+    for start, end, n in anchors.runs("digit", 3):
+        if n >= 6:
+            # Letters, signs and groups that belong to a number stand at most so far before and after its digits.
+            lo, hi = max(0, start - 12), min(len(text), end + 12)
+            if windows and lo < windows[-1][1]:
+                windows[-1] = (windows[-1][0], hi, windows[-1][2] + n)
+            else:
+                windows.append((lo, hi, n))
+    cues, phones = anchors["id"], anchors["phone"]
+    after = [s for s, _ in cues]
+    for lo, hi, n in windows:
+        for m in _STRONG_ID.finditer(text, lo, hi):
+            if free(*m.span()):
+                take(*m.span(), "idnum")
+        if n >= 12:
+            for shape, valid in ((_CARD, _is_card), (_ACCOUNT, _is_account)):
+                for m in shape.finditer(text, lo, hi):
+                    if valid(m[0]) and free(*m.span()):
+                        take(*m.span(), "idnum")
+        for m in _ID_SHAPE.finditer(text, lo, hi) if cues else ():
             start, end = m.span()
-            if sum(map(str.isdigit, m[0])) < 6 or _inside(taken, start, end) or _inside(out, start, end) or _NOT_AN_ID.search(text, max(0, start - 12), start):
+            if sum(map(str.isdigit, m[0])) < 6 or not free(start, end) or _NOT_AN_ID.search(text, max(0, start - 12), start):
                 continue
-            id_at, phone_at = _near(tags, "id", start), _near(tags, "phone", start, 24)
-            if id_at > phone_at or (id_at >= 0 and not _looks_like_phone(m[0])) or (id_at < 0 and phone_at < 0 and any(end <= s <= end + 24 for s, _ in tags["id"])):
-                out.append((start, end, "idnum"))
-    for m in _NUMBER.finditer(text):
-        raw, start = m[0], m.start()
-        if raw[0] == "(" and ")" not in raw:
-            raw, start = raw[1:], start + 1
-        if "," in raw or "\n" in raw or not _looks_like_phone(raw) or _inside(taken, start, m.end()) or _inside(out, start, m.end()):
-            continue
-        more = _EXT.match(text, m.end())
-        out.append((start, more.end() if more else m.end(), "phone"))
+            id_at, phone_at = anchors.before("id", start, 40), anchors.before("phone", start, 24) if phones else -1
+            i = bisect_left(after, end)
+            if id_at > phone_at or (id_at >= 0 and not _looks_like_phone(m[0])) or (id_at < 0 and phone_at < 0 and i < len(after) and after[i] <= end + 24):
+                take(start, end, "idnum")
+        for m in _NUMBER.finditer(text, lo, hi):
+            raw, start = m[0], m.start()
+            if raw[0] == "(" and ")" not in raw:
+                raw, start = raw[1:], start + 1
+            if "," in raw or "\n" in raw or not _looks_like_phone(raw) or not free(start, m.end()):
+                continue
+            more = _EXT.match(text, m.end(), m.end() + REACH)
+            take(start, more.end() if more else m.end(), "phone")
     return out
 
 
-def _names(text: str, folded: str, tags: Tags, taken: list[Span]) -> list[Span]:
-    out: list[Span] = []
+def _names(anchors: _Anchors) -> list[Span]:
+    """From each title, cue, given name, initial and line start the capitalised words beside it."""
+    text, folded, out = anchors.text, anchors.folded, []
     # Where most words are capitalised, capitals say nothing: a given name or a title is needed.
     starts = [m[0][0].isupper() for m in _WORD.finditer(text)] if _TWO_CAPITALS.search(text) else []
     plain_case = sum(starts) <= 0.5 * len(starts) or len(starts) < 6
+    cue_ends, after_starts = {e for _, e in anchors["cue"]}, {s for s, _ in anchors["after"]}
 
     def limit(start: int) -> int:
-        """Where the next other span begins: a name ends before it."""
-        return min((s for s, _, _ in taken if s >= start), default=len(text))
+        return min(anchors.next_taken(start), start + REACH)
 
     def take(start: int, end: int) -> None:
-        if not _inside(taken, start, end):
+        if anchors.free(start, end):
             out.append((start, end, "name"))
 
-    for s, e in tags.get("title", ()):
+    for s, e in anchors["title"]:
         if (s and text[s - 1].isalnum()) or e >= len(text) or not text[e].isupper():
             continue
         if folded[s:e].rstrip(". \xa0") in _ROLES and not (plain_case and text[s].isupper() and text[e - 2] != "."):
@@ -297,48 +498,50 @@ def _names(text: str, folded: str, tags: Tags, taken: list[Span]) -> list[Span]:
         got = m and _valid_name(text, e, m.end(), True)
         if got and got[0] == e:
             take(s, got[1])
-    for s, e in tags.get("cue", ()) if plain_case else ():
+    for s, e in anchors["cue"] if plain_case else ():
         if e < len(text) and text[e].isupper() and (s == 0 or not text[s - 1].isalnum()):
             m = _NAME.match(text, e, limit(e))
             got = m and _valid_name(text, e, m.end(), False)
             # Shouted words after a mere preposition are no name; with a given name they are found below.
             if got and not (folded[s:e].strip() in _WEAK_CUES and text[got[0] : got[1]].isupper()):
                 take(*got)
-    for s, e in tags.get("given", ()):
+    for s, e in anchors["given"]:
         if text[s].islower() and (s == 0 or not text[s - 1].isalnum()):  # all in lower case: a cue must stand on one side
-            m = _LOWER_SURNAME.match(text, e)
-            if m and m[1] not in NOT_NAMES and not _AFTER_NAME.match(text, m.end()):
-                if any(c == s for _, c in tags.get("cue", ())) or any(a == m.end() for a, _ in tags.get("after", ())):
-                    take(s, m.end())
+            m = _LOWER_SURNAME.match(text, e, e + REACH)
+            if m and m[1] not in NOT_NAMES and not _AFTER_NAME.match(text, m.end(), m.end() + REACH) and (s in cue_ends or m.end() in after_starts):
+                take(s, m.end())
             continue
         if not text[s].isupper() or (s and (text[s - 1].isalnum() or text[s - 1] in "-@._+")) or (e < len(text) and (text[e].isalnum() or text[e] in "@_+")):
             continue
         before = _SURNAME_BEFORE.search(text, max(0, s - 40), s)
         if before and before[1].lower() not in NOT_NAMES:
-            more = re.compile(rf"[ \xa0]+[{_UP}]\.").match(text, e)
+            more = _MORE_INITIALS.match(text, e)
             take(before.start(), more.end() if more else e)
             continue
         m = _NAME.match(text, s, limit(s))
         got = m and _valid_name(text, s, m.end(), False)
         if got:
             take(*got)
-        elif not _AFTER_NAME.match(text, e):
-            more = _LOWER_SURNAME.match(text, e)  # a surname without its capital, where the words after it say so
-            take(s, more.end() if more and any(a == more.end() for a, _ in tags.get("after", ())) else e)
-    for s, _ in tags.get("after", ()) if plain_case else ():
+        elif not _AFTER_NAME.match(text, e, e + REACH):
+            more = _LOWER_SURNAME.match(text, e, e + REACH)  # a surname without its capital, where the words after it say so
+            take(s, more.end() if more and more.end() in after_starts else e)
+    for s, _ in anchors["after"] if plain_case else ():
         m = _NAME_BEFORE.search(text, max(0, s - 60), s)
         got = m and _valid_name(text, m.start(1), m.end(1), False)
         if got and got[1] == m.end(1):
             take(*got)
-    if plain_case and (". " in text or ".\xa0" in text):
-        for m in _INITIAL.finditer(text):
-            option = text[m.start()] <= "H" and (m.start() == 0 or text[m.start() - 1] == "\n")
-            option = option and not any(c == m.start() for _, c in tags.get("cue", ())) and not any(a == m.end() for a, _ in tags.get("after", ()))
-            if not option and len(m[1]) > 3 and m[1].lower() not in NOT_NAMES and not _AFTER_NAME.match(text, m.end()):
-                take(*m.span())
+    for s, e in anchors["initial"] if plain_case else ():
+        if not text[s].isupper() or (s and (text[s - 1].isalnum() or text[s - 1] in "._")):
+            continue
+        m = _AFTER_INITIAL.match(text, e, e + REACH)
+        if m:
+            option = text[s] <= "H" and (s == 0 or text[s - 1] == "\n") and s not in cue_ends and m.end() not in after_starts
+            if not option and len(m[1]) > 3 and m[1].lower() not in NOT_NAMES and not _AFTER_NAME.match(text, m.end(), m.end() + REACH):
+                take(s, m.end())
     if plain_case and ("\n" in text or len(text) < 60):
-        for m in _SIGNATURE.finditer(text):
-            got = _valid_name(text, m.start(1), m.end(1), False)
+        for s in (0, *(e for _, e in anchors["line"])):
+            m = _SIGNATURE.match(text, s) if s < len(text) else None
+            got = m and _valid_name(text, m.start(1), m.end(1), False)
             if got and got[1] == m.end(1):
                 take(*got)
     return out

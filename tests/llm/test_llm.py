@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import os
 import random
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -64,6 +65,8 @@ PII = [
     ("My name is Nils Dalert.", ["name"]), ("Spoke with RUTH GARIN on Monday", ["name"]), ("I saw Dr. Radovik", ["name"]), ("signed by kofi kelin today", ["name"]), ("This is about Wenos, Elena, who lives with us", ["name"]),
     ("page 284-7065, batch 3250-85, lot 20912-B, protocol NX-2612, form 12B-6, code 78.8", []), ("platelets of 436,000-238,500 and a pressure of 447/46, chapter 8.49.8, a 30-60-90 day review", []),
     ("the Norenbury scale, Joravik disease type 2 and a positive Penamoor sign", []), ("take 400 mg for 30 days at age 68", []), ("You Are A Careful Assistant For Health Questions.", []), ("Ask your doctor. They know best at once.\n\nContact us", []),
+    ("IP 192.168.1.10, BP 120/80, during 5 days, Monitoring 24 hours", []), ("card 4111 1111 1111 1111, account DE89 3704 0044 0532 0130 00", ["idnum", "idnum"]), ("item 4111 1111 1111 1112 of 3", []), ("call 999-555-1234-22", ["phone"]),
+    ("The patient Oluwaseun Adeyemi came", ["name"]), ("Patient: Ива Петрова", ["name"]), ("I saw Dr. Dvořák", ["name"]), ("x" * 70 + ".a@mail.example", ["email"]), ("a@-.example and a@" + "b" * 64 + ".example", []), ("BP 413, 92277 Ville", ["address"]),
     ("", []),
 ]
 
@@ -80,6 +83,17 @@ def test_redaction_keeps_the_rest():
     assert pii.redact("İ am Dr Radovik") == "İ am [NAME]"
 
 
+@pytest.mark.parametrize("unit", ["0f9a", "aB3_-", "@", "a@", "a at b dot c ", "7", "12 ", "Ana Mary ", "AB", "(", "12 Aaaa Bbbb Street ", "A. ", "Ana Marlow\n", "one two ", " st ", "policy 12345678 "])
+def test_pii_takes_time_in_proportion(unit):
+    took = []
+    for n in (100_000, 400_000):
+        text = "x@y.example " + unit * (n // len(unit)) + "@mail.example"
+        began = time.process_time()
+        pii.find_pii(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_pii_rows(spark, records):
     df = records([(1, [("user", "a@b.example and c@d.example"), (None, None), ("assistant", "217-555-0108")]), (2, None), (3, []), (1, [("user", "a@b.example")]), (4, [None])], extra="1 as kind;2 as msg_idx")
     assert sorted(map(tuple, pii.pii_kinds(df).collect())) == [(1, 0, "email"), (1, 0, "email"), (1, 2, "phone")]
