@@ -71,6 +71,31 @@ this is outside what i can discuss
 i am not allowed to talk about *
 we do not respond to queries on *
 we do not answer questions about *
+i can t do that
+i cannot do this
+i won t do that
+i can t assist with that
+i m not able to help with that
+i cannot fulfil this request
+i cannot fulfill your request
+i cannot comply with this request
+i m not allowed to do that
+as an ai i can t help with this
+that is against my policy
+this goes against my guidelines
+i decline to answer
+no puedo hacer eso
+eso va en contra de mis normas
+je ne peux pas faire cela
+cela va à l encontre de mes règles
+das kann ich nicht tun
+das verstößt gegen meine richtlinien
+я не могу ответить на этот вопрос
+я не могу помочь с этим
+я не могу давать медицинские советы
+我无法回答这个问题
+我不能提供医疗建议
+我无法提供帮助
 no puedo ayudarle con esa consulta
 no puedo ayudarte con eso
 no puedo responder a esa pregunta
@@ -148,11 +173,17 @@ leider gilt
 danke für ihr verständnis
 bitte wenden sie sich an eine fachperson
 bitte wenden sie sich an einen arzt
+извините
+к сожалению
+обратитесь к врачу
+很抱歉
+对不起
+请咨询医生
 """.strip().splitlines()
 )
 _LEADS = tuple(
     tuple(x.split())
-    for x in "i m sorry but|i am sorry but|sorry but|sorry|i apologise but|i apologize but|hello|hi|unfortunately|i understand your worry however|i understand your concern but|however|but|lo siento pero|disculpe pero|disculpe|lamentablemente|désolé mais|je suis désolé mais|je regrette mais|je regrette|malheureusement|entschuldigung aber|entschuldigung|es tut mir leid aber|leider gilt|leider".split(
+    for x in "i m afraid|i am afraid|i m sorry but|i am sorry but|sorry but|sorry|i apologise but|i apologize but|hello|hi|unfortunately|i understand your worry however|i understand your concern but|however|but|lo siento pero|disculpe pero|disculpe|lamentablemente|désolé mais|je suis désolé mais|je regrette mais|je regrette|malheureusement|entschuldigung aber|entschuldigung|es tut mir leid aber|leider gilt|leider".split(
         "|"
     )
 )
@@ -191,11 +222,34 @@ def _nothing(content: str | None) -> bool:
     return not plain or plain in STAND_INS
 
 
-def _aligned(sentence: list[str], template: tuple[str, ...], least: float = 0.8) -> bool:
-    """Whether a sentence is a template, give or take a word; * takes up to six words."""
-    fixed = [w for w in template if w != "*"]
-    free = 6 if "*" in template else 1 + len(fixed) // 6
-    return len(fixed) * least <= len(sentence) <= len(fixed) + free and lcs_length(sentence, fixed) >= least * len(fixed)
+class _Templates:
+    """Templates by their words: a sentence is aligned only with those that share enough words with it."""
+
+    def __init__(self, templates: tuple[tuple[str, ...], ...]) -> None:
+        self.fixed = [[w for w in t if w != "*"] for t in templates]
+        # * takes up to six words.
+        self.most = [len(f) + (6 if "*" in t else 1 + len(f) // 6) for t, f in zip(templates, self.fixed)]
+        self.longest = max(self.most)
+        self.of: dict[str, list[int]] = {}
+        for i, f in enumerate(self.fixed):
+            for w in set(f):
+                self.of.setdefault(w, []).append(i)
+
+    def aligned(self, sentence: list[str], least: float = 0.8) -> bool:
+        """Whether a sentence is one of the templates, give or take a word."""
+        if len(sentence) > self.longest:
+            return False
+        shared: Counter = Counter()
+        for w in sentence:
+            shared.update(self.of.get(w, ()))
+        for i, n in shared.items():
+            fixed = self.fixed[i]
+            if n >= least * len(fixed) and len(fixed) * least <= len(sentence) <= self.most[i] and lcs_length(sentence, fixed) >= least * len(fixed):
+                return True
+        return False
+
+
+_REFUSALS, _COURTESIES = _Templates(REFUSALS), _Templates(COURTESIES)
 
 
 def _sentences(text: str) -> Iterator[str]:
@@ -214,7 +268,7 @@ def is_refusal(content: str) -> bool:
     for sentence in map(words, _sentences(folded)):
         if not sentence:
             continue
-        if any(_aligned(sentence, c) for c in COURTESIES) and not any(_aligned(sentence, r, 1.0) for r in REFUSALS):
+        if _COURTESIES.aligned(sentence) and not _REFUSALS.aligned(sentence, 1.0):
             continue
         for lead in _LEADS:
             if tuple(sentence[: len(lead)]) == lead:
@@ -226,7 +280,7 @@ def is_refusal(content: str) -> bool:
                 break
         if not sentence:
             continue
-        if not any(_aligned(sentence, r) for r in REFUSALS):
+        if not _REFUSALS.aligned(sentence):
             return False
         declined = True
     return declined

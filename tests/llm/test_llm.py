@@ -145,6 +145,8 @@ def test_truncated_alike(spark, records):
 def test_refusals():
     assert pairs.is_refusal("Unfortunately, my guidelines prevent me from replying, and I hope you understand.")
     assert pairs.is_refusal("Lo siento, pero no me es posible opinar sobre la artrosis. Gracias por su comprensión.")
+    for x in ("I'm afraid I can't do that.", "Sorry, that is against my policy.", "As an AI, I can't help with this.", "Извините, я не могу ответить на этот вопрос.", "很抱歉，我无法回答这个问题。"):
+        assert pairs.is_refusal(x)
     assert not pairs.is_refusal("I am sorry to hear about the pain; it will ease if you rest.")
     assert not pairs.is_refusal("I can't help with that request. But try some rest for the knee, and drink more water.")
 
