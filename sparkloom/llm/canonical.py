@@ -4,11 +4,35 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 
 #: What stands between labelled fields, in the order tried.
 _SEPARATORS = (re.compile(r"[\r\n;|  \x85]+"), re.compile(r"[\r\n  \x85]+"), re.compile(r"\|"), re.compile(r";"))
 _LABEL = re.compile(r"[\W_]*[^\W\d_][^:]{0,48}:(?!//)")
 _WORDS = re.compile(r"[^\W_]+")
+
+
+def _character_class(codes: Iterable[int]) -> str:
+    """Code points in rising order as ranges of a character class."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+def _unseen(code: int) -> bool:
+    """Whether a mark only chooses how others are shown: variation selectors and the grapheme joiner."""
+    return 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF or code in (0x34F, 0x180B, 0x180C, 0x180D, 0x180F)
+
+
+#: Marks that tell letters apart, as vowel signs do; they belong to the letter before them.
+_MARKS = _character_class(c for c in range(0x300, 0x20000) if unicodedata.category(chr(c)) in ("Mn", "Mc") and not _unseen(c))
+_HAS_MARK = re.compile(f"[{_MARKS}]")
+_MARKED_WORDS = re.compile(rf"(?:[^\W_]+[{_MARKS}]*)+")
+_INVISIBLE = re.compile("[" + _character_class(c for c in range(0x80, 0xE0200) if unicodedata.category(chr(c)) == "Cf" or _unseen(c)) + "]+")
 _ASCII_WORDS = re.compile(r"[a-z0-9]+")
 #: Bytes of ASCII text that are neither letters nor digits.
 _ASCII_DROP = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -25,17 +49,17 @@ def fold(text: str) -> str:
 
 
 def letters(folded: str) -> str:
-    """The letters and digits of folded text, in order."""
+    """The letters and digits of folded text with their marks, in order."""
     if folded.isascii():
         return folded.encode().translate(None, _ASCII_DROP).decode()
-    return "".join(_WORDS.findall(folded))
+    return "".join(_MARKED_WORDS.findall(_INVISIBLE.sub("", folded)) if _HAS_MARK.search(folded) else _WORDS.findall(folded))
 
 
 def words(folded: str) -> list[str]:
-    """Runs of letters and digits of folded text, in order. Marks and invisible characters between letters part nothing."""
+    """Runs of letters and digits of folded text with their marks, in order. Invisible characters between letters part nothing."""
     if folded.isascii():
         return _ASCII_WORDS.findall(folded)
-    return _WORDS.findall("".join(c for c in folded if c.isalnum() or unicodedata.category(c) not in ("Mn", "Cf")))
+    return (_MARKED_WORDS if _HAS_MARK.search(folded) else _WORDS).findall(_INVISIBLE.sub("", folded))
 
 
 def fields(folded: str) -> list[str] | None:

@@ -1,9 +1,11 @@
 """Copies hidden by formatting: the same letters and digits under other case, spacing, punctuation or field order.
 
-Every record becomes two 128-bit hashes and a 64-bit check value in one pass over the
-text; only these 48 bytes a record are shuffled. Groups are counted with map-side
-combining. A key that occurs with two check values is a collision; the check value is
-part of the grouping key, so colliding records stay apart, and the number is reported.
+Every record becomes two 128-bit hashes with 64-bit check values in one pass over the
+text; only these 60 bytes a record are shuffled. They are counted with map-side
+combining first: what follows works on distinct forms, however often each was delivered.
+A key that occurs with two check values is a collision; the check value is part of every
+key, so colliding records stay apart, and the number is reported. Ids of copies come
+back through a join of the forms that have any; forms with many records are salted.
 """
 
 from __future__ import annotations
@@ -12,17 +14,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrow import message_rows
 from sparkloom.llm.canonical import canonical_letters, role_of
 from sparkloom.plans.durable import durable
 
-#: Parts a group is spread over before it is joined: a group of a third of all rows puts a fraction of 1/SALTS of itself into a task.
-SALTS = 16
+#: Records of one form that meet in one task when ids come back; and forms treated so, at most: their list is broadcast.
+PART_ROWS, MOST_HOT = 100_000, 1_000
 
-_HASHES = pa.schema([("row_id", pa.int64()), ("plain", pa.binary()), ("sorted", pa.binary()), ("check", pa.int64()), ("n_fields", pa.int32())])
+_HASHES = pa.schema([("row_id", pa.int64()), ("plain", pa.binary()), ("plain_check", pa.int64()), ("sorted", pa.binary()), ("check", pa.int64()), ("n_fields", pa.int32())])
+_FORM = ["plain", "plain_check", "sorted", "check"]
 
 
 def _signed(n: int) -> int:
@@ -31,7 +34,7 @@ def _signed(n: int) -> int:
 
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         for row_id, messages in zip(batch.column(0).to_pylist(), message_rows(batch)):
             if not messages:
                 continue
@@ -43,46 +46,52 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 plain.append(head + a)
                 ordered.append(head + b)
             a, b = "\x1e".join(plain).encode("utf-8", "surrogatepass"), "\x1e".join(ordered).encode("utf-8", "surrogatepass")
-            for column, value in zip(out, (row_id, xxhash.xxh3_128_digest(a), xxhash.xxh3_128_digest(b), _signed(xxhash.xxh64_intdigest(b, 7)), with_fields)):
+            for column, value in zip(out, (row_id, xxhash.xxh3_128_digest(a), _signed(xxhash.xxh64_intdigest(a, 7)), xxhash.xxh3_128_digest(b), _signed(xxhash.xxh64_intdigest(b, 7)), with_fields)):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, _HASHES)], schema=_HASHES)
 
 
 def canonical_hashes(records: DataFrame, id_col: str = "record_id", messages_col: str = "messages") -> DataFrame:
-    """One row per record with messages: row_id, key (128-bit, binary), check (64-bit).
+    """One row per record with messages: row_id, hash and check value of its letters in order and with labelled fields sorted, and how many messages have fields.
 
     Rows with null or empty ``messages`` are left out; null contents and roles count as
-    empty. A record that shows fewer labelled fields than another with the same letters
-    (its line ends were lost, say) takes that record's key.
+    empty.
     """
     rows = records.select(F.col(id_col).cast("long").alias("row_id"), F.col(messages_col).alias("messages"))
-    hashed = durable(rows.mapInArrow(_hash_batches, "row_id long, plain binary, sorted binary, check long, n_fields int"), "formatdup")
-    # Letters in order -> the sorted form of the record in which most messages show fields.
-    salted = hashed.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
-    forms = (
-        hashed.where("n_fields > 0").groupBy("plain").agg(F.max(F.struct("n_fields", "sorted", "check")).alias("form"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    return salted.join(forms, ["plain", "salt"], "left").select("row_id", F.coalesce("form.sorted", "sorted").alias("key"), F.coalesce("form.check", "check").alias("check"))
+    return durable(rows.mapInArrow(_hash_batches, "row_id long, plain binary, plain_check long, sorted binary, check long, n_fields int"), "formatdup")
+
+
+def _forms(hashes: DataFrame) -> DataFrame:
+    """Distinct forms with their rows, smallest and greatest id, and the key of their group.
+
+    A record that shows fewer labelled fields than another with the same letters (its
+    line ends were lost, say) takes the key of that record.
+    """
+    forms = hashes.groupBy(*_FORM).agg(F.max("n_fields").alias("n_fields"), F.count(F.lit(1)).alias("n"), F.min("row_id").alias("least"), F.max("row_id").alias("most"))
+    best = F.max(F.struct("n_fields", "sorted", "check")).over(Window.partitionBy("plain", "plain_check")).alias("best")
+    return forms.select(*_FORM, "n", "least", "most", best).select(*_FORM, "n", "least", "most", F.col("best.sorted").alias("key"), F.col("best.check").alias("key_check"))
 
 
 def format_groups(hashes: DataFrame) -> DataFrame:
-    """One row per distinct record: key, check, keep_id (smallest id), copies (rows in the group), collision (its key has another check value too)."""
-    groups = hashes.groupBy("key", "check").agg(F.min("row_id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
-    several = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(True).alias("hit"))
-    return groups.join(several, "key", "left").select("keep_id", "copies", F.coalesce("hit", F.lit(False)).alias("collision"))
+    """One row per distinct record: keep_id (smallest id), copies (rows in the group), collision (its hash has another check value too)."""
+    groups = _forms(hashes).groupBy("key", "key_check").agg(F.min("least").alias("keep_id"), F.sum("n").alias("copies"))
+    return groups.select("keep_id", "copies", (F.count(F.lit(1)).over(Window.partitionBy("key")) > 1).alias("collision"))
 
 
 def format_copies(hashes: DataFrame) -> DataFrame:
     """(keep_id, copy_id) for each record that isn't the smallest id of its group.
 
-    A repeated id counts once. A group of any size is spread over SALTS parts in both
-    the count and the join.
+    A repeated id counts once. A group of any size is counted map-side; a form with more
+    records than PART_ROWS, and than a thousandth of all, is spread over several tasks
+    where its ids come back.
     """
-    salted = hashes.select("key", "check", "row_id", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    parts = salted.groupBy("key", "check", "salt").agg(F.min("row_id").alias("least"), F.max("row_id").alias("most"))
-    groups = (
-        parts.groupBy("key", "check").agg(F.min("least").alias("keep_id"), F.max("most").alias("most"), F.collect_list("salt").alias("salts"))
-        .where("keep_id < most").select("key", "check", "keep_id", F.explode("salts").alias("salt"))
-    )
-    return salted.join(groups, ["key", "check", "salt"]).where("row_id <> keep_id").select("keep_id", F.col("row_id").alias("copy_id")).distinct()
+    forms = _forms(hashes)
+    groups = forms.groupBy("key", "key_check").agg(F.min("least").alias("keep_id"), F.max("most").alias("last")).where("keep_id < last")
+    members = forms.select(*_FORM, "n", "key", "key_check").join(groups.select("key", "key_check", "keep_id"), ["key", "key_check"])
+    members = durable(members.select(*_FORM, "n", "keep_id"), "forms")  # distinct forms of groups with copies
+    part_rows = max(PART_ROWS, hashes.count() // MOST_HOT)
+    parts = F.ceil(F.col("n") / part_rows).cast("int")
+    hot = F.broadcast(members.where(F.col("n") > part_rows).select(*_FORM, parts.alias("parts")))  # at most MOST_HOT
+    rows = hashes.join(hot, _FORM, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row_id"), F.col("parts")), F.lit(0)).cast("int"))
+    members = members.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.select(*_FORM, "part", "row_id").join(members.select(*_FORM, "part", "keep_id"), [*_FORM, "part"]).where("row_id <> keep_id").select("keep_id", F.col("row_id").alias("copy_id")).distinct()

@@ -8,8 +8,11 @@ _SPACE = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
 _SPLITS = (r"[\r\n;|]+", r"[\r\n]+", r"\|", ";")
 
 
+_UNSEEN = r"[\p{Cf}\x{34F}\x{180B}-\x{180D}\x{180F}\x{FE00}-\x{FE0F}]+"
+
+
 def _letters(x: str) -> str:
-    return rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '', 'g')"
+    return rf"array_to_string(regexp_extract_all(regexp_replace({x}, '{_UNSEEN}', '', 'g'), '[\p{{L}}\p{{N}}]+[\p{{Mn}}\p{{Mc}}]*'), '')"
 
 
 def _fields(separator: str) -> str:
@@ -20,7 +23,7 @@ def _fields(separator: str) -> str:
 
 
 #: Text folded as far as SQL can: lower case, sharp s; the table holds no other compatibility characters but no-break spaces and the ordinal sign.
-_FOLDED = "replace(replace(replace(lower(coalesce(messages[i].content, '')), 'ß', 'ss'), chr(160), ' '), 'º', 'o')"
+_FOLDED = "nfc_normalize(replace(replace(replace(lower(coalesce(messages[i].content, '')), 'ß', 'ss'), chr(160), ' '), 'º', 'o'))"
 
 SQL["p3_found"] = f"""
 WITH m AS (SELECT record_id, messages, unnest(range(1, len(messages) + 1)) AS i FROM finetune_data WHERE len(messages) > 0),

@@ -35,6 +35,8 @@ def test_canonical_forms():
     assert fields("hello\nage: 4\nsex: f") is None and fields("one: line") is None
     assert canonical_letters(None) == ("", "") and canonical_words(None) == [] and canonical_words("") == []
     assert canonical_words("b: 2\na: 1") == canonical_words("A: 1; B: 2") == ["a", "1", "b", "2"]
+    assert canonical_letters("कि")[0] != canonical_letters("का")[0] and canonical_letters("नमस्ते, दुनिया!") == canonical_letters("नमस्ते दुनिया") != canonical_letters("नमसत दनय")
+    assert canonical_words("ที่นี่ a❤️b e\u0301té") == ["ที่นี่", "a", "b", "été"] and canonical_letters("قَلَم")[0] != canonical_letters("قلم")[0] and canonical_letters("don´t ¨") == canonical_letters("don't")
     assert role_of(" User\n") == "user" and role_of(None) == ""
 
 
@@ -174,7 +176,9 @@ def test_format_copies(spark, records):
     assert formatdup.format_copies(formatdup.canonical_hashes(df.limit(0))).count() == 0
 
 
-def test_hot_group_of_copies(spark, records):
+def test_hot_group_of_copies(spark, records, monkeypatch):
+    monkeypatch.setattr(formatdup, "PART_ROWS", 50)  # the group is dealt to several tasks
+    monkeypatch.setattr(formatdup, "MOST_HOT", 20)
     df = records([(i, [("user", "same!" if i % 3 == 0 else f"text {i}")]) for i in range(900)])
     got = formatdup.format_copies(formatdup.canonical_hashes(df)).collect()
     assert sorted(map(tuple, got)) == [(0, i) for i in range(3, 900, 3)]
