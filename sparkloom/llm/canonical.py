@@ -83,10 +83,20 @@ def canonical_letters(content: str | None) -> tuple[str, str]:
     return (plain, "\x1f".join(sorted(map(letters, parts)))) if parts else (plain, plain)
 
 
-def canonical_words(content: str | None) -> list[str]:
-    """Words of a content, labelled fields in sorted order; null gives []."""
+def canonical_forms(content: str | None) -> tuple[list[str], str, str]:
+    """(words of a content with labelled fields in sorted order, and its two forms of :func:`canonical_letters`)."""
     if not content:
-        return []
+        return [], "", ""
     folded = fold(content)
+    own = words(folded)
+    plain = "".join(own)
     parts = fields(folded)
-    return words(folded) if not parts else [w for p in sorted(map(words, parts)) for w in p]
+    if not parts:
+        return own, plain, plain
+    by_part = sorted(map(words, parts))
+    return [w for p in by_part for w in p], plain, "\x1f".join(sorted(map("".join, by_part)))
+
+
+def canonical_words(content: str | None) -> list[str]:
+    """Words of a content, labelled fields in sorted order; null gives []."""
+    return canonical_forms(content)[0]

@@ -25,13 +25,23 @@ from sparkloom.plans.durable import durable
 PART_ROWS, MOST_HOT = 100_000, 1_000
 
 _HASHES = pa.schema([("row_id", pa.int64()), ("plain", pa.binary()), ("plain_check", pa.int64()), ("sorted", pa.binary()), ("check", pa.int64()), ("n_fields", pa.int32())])
-_FORM = ["plain", "plain_check", "sorted", "check"]
+FORM = ["plain", "plain_check", "sorted", "check"]
 
 
 def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
+def form_hashes(plain: list[str], ordered: list[str]) -> tuple[bytes, int, bytes, int]:
+    """Hash and check value of the messages' letters in order, and with labelled fields sorted."""
+    a = "\x1e".join(plain).encode("utf-8", "surrogatepass")
+    first = xxhash.xxh3_128_digest(a), _signed(xxhash.xxh64_intdigest(a, 7))
+    if plain == ordered:
+        return (*first, *first)
+    b = "\x1e".join(ordered).encode("utf-8", "surrogatepass")
+    return (*first, xxhash.xxh3_128_digest(b), _signed(xxhash.xxh64_intdigest(b, 7)))
+
+
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], [], [], [], []]
@@ -45,8 +55,7 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 head = role_of(role) + "\x1d"
                 plain.append(head + a)
                 ordered.append(head + b)
-            a, b = "\x1e".join(plain).encode("utf-8", "surrogatepass"), "\x1e".join(ordered).encode("utf-8", "surrogatepass")
-            for column, value in zip(out, (row_id, xxhash.xxh3_128_digest(a), _signed(xxhash.xxh64_intdigest(a, 7)), xxhash.xxh3_128_digest(b), _signed(xxhash.xxh64_intdigest(b, 7)), with_fields)):
+            for column, value in zip(out, (row_id, *form_hashes(plain, ordered), with_fields)):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, _HASHES)], schema=_HASHES)
 
@@ -61,20 +70,21 @@ def canonical_hashes(records: DataFrame, id_col: str = "record_id", messages_col
     return durable(rows.mapInArrow(_hash_batches, "row_id long, plain binary, plain_check long, sorted binary, check long, n_fields int"), "formatdup")
 
 
-def _forms(hashes: DataFrame) -> DataFrame:
-    """Distinct forms with their rows, smallest and greatest id, and the key of their group.
+def forms_of(hashes: DataFrame, *also: str) -> DataFrame:
+    """Distinct forms (and other columns) with their rows, smallest and greatest id, and the key of their group.
 
     A record that shows fewer labelled fields than another with the same letters (its
     line ends were lost, say) takes the key of that record.
     """
-    forms = hashes.groupBy(*_FORM).agg(F.max("n_fields").alias("n_fields"), F.count(F.lit(1)).alias("n"), F.min("row_id").alias("least"), F.max("row_id").alias("most"))
+    own = [*FORM, *also]
+    forms = hashes.groupBy(*own).agg(F.max("n_fields").alias("n_fields"), F.count(F.lit(1)).alias("n"), F.min("row_id").alias("least"), F.max("row_id").alias("most"))
     best = F.max(F.struct("n_fields", "sorted", "check")).over(Window.partitionBy("plain", "plain_check")).alias("best")
-    return forms.select(*_FORM, "n", "least", "most", best).select(*_FORM, "n", "least", "most", F.col("best.sorted").alias("key"), F.col("best.check").alias("key_check"))
+    return forms.select(*own, "n", "least", "most", best).select(*own, "n", "least", "most", F.col("best.sorted").alias("key"), F.col("best.check").alias("key_check"))
 
 
 def format_groups(hashes: DataFrame) -> DataFrame:
     """One row per distinct record: keep_id (smallest id), copies (rows in the group), collision (its hash has another check value too)."""
-    groups = _forms(hashes).groupBy("key", "key_check").agg(F.min("least").alias("keep_id"), F.sum("n").alias("copies"))
+    groups = forms_of(hashes).groupBy("key", "key_check").agg(F.min("least").alias("keep_id"), F.sum("n").alias("copies"))
     return groups.select("keep_id", "copies", (F.count(F.lit(1)).over(Window.partitionBy("key")) > 1).alias("collision"))
 
 
@@ -85,13 +95,13 @@ def format_copies(hashes: DataFrame) -> DataFrame:
     records than PART_ROWS, and than a thousandth of all, is spread over several tasks
     where its ids come back.
     """
-    forms = _forms(hashes)
+    forms = forms_of(hashes)
     groups = forms.groupBy("key", "key_check").agg(F.min("least").alias("keep_id"), F.max("most").alias("last")).where("keep_id < last")
-    members = forms.select(*_FORM, "n", "key", "key_check").join(groups.select("key", "key_check", "keep_id"), ["key", "key_check"])
-    members = durable(members.select(*_FORM, "n", "keep_id"), "forms")  # distinct forms of groups with copies
+    members = forms.select(*FORM, "n", "key", "key_check").join(groups.select("key", "key_check", "keep_id"), ["key", "key_check"])
+    members = durable(members.select(*FORM, "n", "keep_id"), "forms")  # distinct forms of groups with copies
     part_rows = max(PART_ROWS, hashes.count() // MOST_HOT)
     parts = F.ceil(F.col("n") / part_rows).cast("int")
-    hot = F.broadcast(members.where(F.col("n") > part_rows).select(*_FORM, parts.alias("parts")))  # at most MOST_HOT
-    rows = hashes.join(hot, _FORM, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row_id"), F.col("parts")), F.lit(0)).cast("int"))
+    hot = F.broadcast(members.where(F.col("n") > part_rows).select(*FORM, parts.alias("parts")))  # at most MOST_HOT
+    rows = hashes.join(hot, FORM, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row_id"), F.col("parts")), F.lit(0)).cast("int"))
     members = members.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return rows.select(*_FORM, "part", "row_id").join(members.select(*_FORM, "part", "keep_id"), [*_FORM, "part"]).where("row_id <> keep_id").select("keep_id", F.col("row_id").alias("copy_id")).distinct()
+    return rows.select(*FORM, "part", "row_id").join(members.select(*FORM, "part", "keep_id"), [*FORM, "part"]).where("row_id <> keep_id").select("keep_id", F.col("row_id").alias("copy_id")).distinct()

@@ -59,6 +59,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitoverlap.split_overlaps(spread(table(spark, folder, "finetune_data")))
 
 
+def p6_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with their classes of equal words and the pairs that name them."""
+    return splitoverlap.overlap_members(spread(table(spark, folder, "finetune_data")))
+
+
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     """Overlaps per evaluation split and source."""
     records = spread(table(spark, folder, "finetune_data"))
@@ -94,5 +99,5 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p2_found, p3_found, p3_groups, p4_packed, p4_report, p5_budget, p6_found, p6_report, p7_ids, p8_mixture, p8_shares, p9_found, p9_report)
+    f.__name__: f for f in (p1_found, p1_redacted, p2_found, p3_found, p3_groups, p4_packed, p4_report, p5_budget, p6_found, p6_members, p6_report, p7_ids, p8_mixture, p8_shares, p9_found, p9_report)
 }

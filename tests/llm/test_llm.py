@@ -306,8 +306,7 @@ def test_hot_group_of_near_copies(spark, records, monkeypatch):
     text = "please write a short letter about the opening hours of our new office in the old town for client number {} and keep it polite and friendly throughout all of it"
     rows = [(i, [("user", text.format(f"x{i}"))], "train" if i % 3 else "val") for i in range(900)]
     got = {tuple(r) for r in splitoverlap.split_overlaps(records(rows)).collect()}
-    assert {x for p in got for x in p} == set(range(900))  # every record keeps a link
-    assert len(got) < 900 * 2 * splitoverlap.FULL
+    assert got == {(min(i, j), max(i, j)) for i in range(0, 900, 3) for j in range(900) if j % 3}
 
 
 def crowd(n):
@@ -349,12 +348,14 @@ def test_short_records(spark, records):
     assert got == overlap_truth(rows) == {(2 * n, 2 * n + 1) for n in (5, 6, 7, 9, 10)}
 
 
-def test_hot_suffixes_are_spread():
-    bucket = np.array([7] * 1000 + list(range(100, 200)), np.uint64)
-    after = np.ones((1100, 3), np.uint32)
-    got = splitoverlap._spread_hot(bucket, after, 1, 5)
-    assert (got[1000:] == bucket[1000:]).all() and np.unique(got[:1000], return_counts=True)[1].max() <= splitoverlap.HOT
-    assert (splitoverlap._spread_hot(bucket[900:], after[900:], 1, 5)[100:] == bucket[1000:]).all()
+def test_copies_with_other_word_borders_agree(spark, records):
+    text = "the long term follow up of well being in on going care for low in come"
+    joined = text.replace(" ", "")
+    rows = [(1, [("user", text)], "train"), (2, [("user", joined)], "val"), (3, [("user", "Age: 4\nSex: f\nSite: toe")], "train"), (4, [("user", "Site: toe Age: 4 Sex: f")], "val"), (5, [("user", "Age: 4 Sex: f Site: toe")], "test"), (6, [("assistant", joined)], "test")]
+    got = {tuple(r) for r in splitoverlap.split_overlaps(records(rows)).collect()}
+    assert got == {(1, 2), (3, 5)}
+    members = {r.record_id: r for r in splitoverlap.overlap_members(records(rows)).collect()}
+    assert len(members) == 6 and [members[i].links for i in range(1, 7)] == [1, 1, 1, 0, 1, 0] and members[2].class_id == members[6].class_id == 2 and members[2].class_eval == 2
 
 
 # --- p8 -------------------------------------------------------------------------------
