@@ -8,9 +8,9 @@ are done and leave the matrix. Ranks are found by hashing the pair into an open
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
-import threading
 from collections.abc import Iterable
 
 import numpy as np
@@ -22,7 +22,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNICODE = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{_SPACE}\p{{L}}\p{{N}}]").replace(r"\s+(?!\S)|\s+", rf"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"))
 _ASCII = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-#: Rows of a matrix, and the length beyond which a piece is merged by itself.
+#: Rows of a matrix, and the length beyond which a piece is merged by itself, with a heap: in a matrix it would take rounds as many as bytes. The ids are the same.
 ROWS, LONG = 16384, 256
 _NONE = np.int32(2**31 - 1)
 
@@ -40,13 +40,19 @@ def _byte_symbols() -> dict[str, int]:
 
 
 class Merges:
-    """Ranked merges of a tokenizer file (``tokenizers`` JSON), with a hashed pair table."""
+    """Ranked merges of a byte-level tokenizer file (``tokenizers`` JSON, as bytes), with a hashed pair table.
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    Raises ``ValueError`` for another model, a normalizer, or another way of splitting.
+    """
+
+    def __init__(self, data: bytes) -> None:
+        whole = json.loads(data)
+        model, splitter = whole["model"], whole.get("pre_tokenizer") or {}
+        if model.get("type") != "BPE" or whole.get("normalizer") or splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space") or not splitter.get("use_regex", True) or model.get("ignore_merges"):
+            raise ValueError("not a byte-level BPE without normalizer")
         vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self._vocab, self._bytes = vocab, None
         self.byte_ids = np.full(256, -1, np.int32)
         for symbol, byte in _byte_symbols().items():
             self.byte_ids[byte] = vocab[symbol]
@@ -108,6 +114,13 @@ class Merges:
                     self._encode_matrix(self.byte_ids[flat].reshape(len(part), length), np.array(part), out)
         return out
 
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids; bytes that form no character become the replacement character."""
+        if self._bytes is None:
+            of = _byte_symbols()
+            self._bytes = {i: bytes(of[c] for c in symbol) for symbol, i in self._vocab.items() if all(c in of for c in symbol)}
+        return b"".join([self._bytes[i] for i in ids]).decode("utf-8", "replace")
+
     def _encode_matrix(self, ids: np.ndarray, rows: np.ndarray, out: list[np.ndarray]) -> None:
         ranks = self.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1)
         while ids.shape[1] > 1:
@@ -142,34 +155,37 @@ class Merges:
             out[i] = row
 
     def _encode_long(self, ids: np.ndarray) -> np.ndarray:
-        """One long piece: all leftmost non-overlapping places of the pair of least rank are joined at once, which gives the same ids."""
-        while len(ids) > 1:
-            ranks = self.rank(ids[:-1], ids[1:])
-            least = ranks.min()
-            if least == _NONE:
-                break
-            hit = ranks == least
-            if (hit[1:] & hit[:-1]).any():  # in a run of overlapping places every second one counts
-                places = np.flatnonzero(hit)
-                new_run = np.concatenate(([True], np.diff(places) > 1))
-                start = np.maximum.accumulate(np.where(new_run, places, 0))
-                hit[places[(places - start) % 2 == 1]] = False
-            places = np.flatnonzero(hit)
-            ids[places] = self.merged[least]
-            ids = np.delete(ids, places + 1)
-        return ids
-
-
-_loaded: dict[str, Merges] = {}
-_lock = threading.Lock()
-
-
-def load(path: str) -> Merges:
-    """The merges of a file, read once in a process."""
-    with _lock:
-        if path not in _loaded:
-            _loaded[path] = Merges(path)
-        return _loaded[path]
+        """One long piece: pairs wait in a heap by rank and place; a joined pair adds those with its neighbours. Places are linked, so a join takes a few steps, whatever the length."""
+        n = len(ids)
+        ranks = self.rank(ids[:-1], ids[1:])
+        symbols, before, after = ids.tolist(), list(range(-1, n - 1)), list(range(1, n + 1))
+        places = np.flatnonzero(ranks != _NONE)
+        heap = list(zip(ranks[places].tolist(), places.tolist(), ids[places].tolist(), ids[places + 1].tolist()))
+        heapq.heapify(heap)
+        known: dict[tuple[int, int], int] = {}
+        none, merged = int(_NONE), self.merged
+
+        def push(at: int, other: int) -> None:
+            pair = symbols[at], symbols[other]
+            rank = known.get(pair)
+            if rank is None:
+                rank = known[pair] = int(self.rank(np.array([pair[0]], np.int32), np.array([pair[1]], np.int32))[0])
+            if rank != none:
+                heapq.heappush(heap, (rank, at, *pair))
+
+        while heap:
+            rank, at, left, right = heapq.heappop(heap)
+            other = after[at]
+            if symbols[at] != left or other >= n or symbols[other] != right:  # one of them has been joined since
+                continue
+            symbols[at], symbols[other] = int(merged[rank]), -1
+            following = after[at] = after[other]
+            if following < n:
+                before[following] = at
+                push(at, following)
+            if before[at] >= 0:
+                push(before[at], at)
+        return np.array([s for s in symbols if s >= 0], np.int32)
 
 
 class Pieces:
@@ -179,8 +195,8 @@ class Pieces:
     changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
-        self.merges, self.limit = load(path), limit
+    def __init__(self, data: bytes, limit: int = 400_000) -> None:
+        self.merges, self.limit = Merges(data), limit
         self._clear()
 
     def _clear(self) -> None:

@@ -19,16 +19,24 @@ from sparkloom.plans.durable import durable
 
 #: Tokens of a block, texts of a shuffling bucket, slots numbered together.
 BLOCK_TOKENS, BUCKET_ROWS, CHUNK_SLOTS = 8192, 10_000, 4096
+#: Targets at most: their list is read by the driver and broadcast.
+MOST_TARGETS = 10_000
 _GOLDEN = (math.sqrt(5) - 1) / 2
 
 
+def _wanted(targets: DataFrame) -> list[tuple[str, float, int]]:
+    """(source, share, max_repeat) of each target. Targets are a list of settings: at most MOST_TARGETS."""
+    rows = targets.groupBy(normal_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.min("max_repeat").alias("most")).limit(MOST_TARGETS + 1).collect()
+    if len(rows) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} sources")
+    return [(r.source, float(r.share or 0), int(r.most or 0)) for r in rows]
+
+
 def _plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None) -> list[tuple[str, float, int, int, int]]:
-    """(source, share, max_repeat, tokens there, tokens wanted) of each target. Targets are a list of settings: at most 10,000."""
-    wanted = targets.groupBy(normal_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.min("max_repeat").alias("most")).limit(10_001).collect()
-    if len(wanted) > 10_000:
-        raise ValueError("more than 10,000 sources")
-    have = {r.source: r.tokens for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()}
-    rows = [(r.source, float(r.share or 0), int(r.most or 0), int(have.get(r.source) or 0)) for r in wanted]
+    """(source, share, max_repeat, tokens there, tokens wanted) of each target."""
+    wanted = _wanted(targets)
+    have = {r.source: r.tokens for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).limit(MOST_TARGETS + 1).collect()}  # of targets only
+    rows = [(*r, int(have.get(r[0]) or 0)) for r in wanted]
     usable = [r for r in rows if r[1] > 0 and r[2] > 0 and r[3] > 0]
     whole = sum(r[1] for r in usable)
     total = min((r[2] * r[3] * whole / r[1] for r in usable), default=0)
@@ -40,8 +48,11 @@ def _plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None) -> lis
 def sized_texts(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, n_tokens) of the texts with tokens whose source is a target; sources with spelling variants brought together."""
     rows = documents.select("doc_id", normal_name(F.col("source")).alias("source"), "text").where("text is not null and text <> ''")
-    names = targets.select(normal_name(F.col("source")).alias("source")).distinct()
-    return durable(text_tokens(rows.join(F.broadcast(names), "source", "left_semi"), "text", ["doc_id", "source"], tokenizer), "sizes")
+    names = [(s,) for s, *_ in _wanted(targets)]  # a list of settings, checked
+    if not names:
+        return text_tokens(rows.limit(0), "text", ["doc_id", "source"], tokenizer)
+    known = F.broadcast(documents.sparkSession.createDataFrame(names, "source string"))
+    return durable(text_tokens(rows.join(known, "source", "left_semi"), "text", ["doc_id", "source"], tokenizer), "sizes")
 
 
 def mixture(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
@@ -82,10 +93,13 @@ def mixture(sized: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     spare = 16 + 4 * math.log2(wanted / block_tokens + 2)
     slots = math.ceil(max((r[4] / block_tokens + spare) * wanted / r[4] for r in plan))
     point = F.pmod((F.col("id") + 1) * F.lit(_GOLDEN), F.lit(1.0))
-    name = F.lit(weights[-1][0])
-    for s, _, end in reversed(weights[:-1]):
-        name = F.when(point < end, F.lit(s)).otherwise(name)
-    schedule = spark.range(slots).select(F.col("id").alias("slot"), name.alias("source"), F.floor(F.col("id") / CHUNK_SLOTS).alias("chunk"))
+    # Each source covers a range of equal cells; a slot meets the few sources that share its cell.
+    cells = 4 * len(weights)
+    ranges = [(c, s, start, end if i + 1 < len(weights) else 2.0) for i, (s, start, end) in enumerate(weights) for c in range(int(start * cells), min(cells - 1, int((end if i + 1 < len(weights) else 1.0) * cells)) + 1)]
+    cell = F.least(F.floor(point * cells), F.lit(cells - 1)).cast("int")
+    slots_of = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point"), cell.alias("cell"))
+    covered = F.broadcast(spark.createDataFrame(ranges, "cell int, source string, from double, upto double"))  # five rows a target
+    schedule = slots_of.join(covered, "cell").where("point >= `from` and point < upto").select("slot", "source", F.floor(F.col("slot") / CHUNK_SLOTS).alias("chunk"))
     per_chunk = schedule.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     per_chunk = per_chunk.select("source", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("chunk_start"))

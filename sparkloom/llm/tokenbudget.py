@@ -1,8 +1,9 @@
 """Token budget: how many tokens each source, language and task holds under a public tokenizer.
 
 The text is split into pieces once; each task counts its pieces by slice before
-anything is shuffled. Only distinct pieces with their counts travel; they are grouped by
-piece, so a piece's symbols are merged once, however often it occurs in the corpus.
+anything is shuffled, and the counts of all tasks meet by slice and piece. Distinct pieces
+with their counts are then dealt by piece, so a piece's symbols are merged in one place,
+however often it occurs in the corpus.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from sparkloom.llm.bpe import split
 from sparkloom.llm.canonical import role_of
 from sparkloom.llm.lang import LANGUAGES, language_counts
 from sparkloom.functions.text import normal_name
-from sparkloom.llm.tokens import TOKENIZER, store
+from sparkloom.llm.tokens import TOKENIZER, shipped, store
 
 #: Distinct (slice, piece) counts a task holds before it passes them on; bounds memory, changes no result.
 HELD = 500_000
@@ -56,9 +57,9 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from out()
 
 
-def _weigher(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _weigher(tokenizer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001 - a broadcast
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = store(path).merges
+        merges = store(tokenizer).merges
         for batch in batches:
             pieces = batch.column(3).to_pylist()
             distinct = {p: i for i, p in enumerate(dict.fromkeys(p for p in pieces if p is not None))}
@@ -81,7 +82,7 @@ def token_budget(records: DataFrame, tokenizer: str = TOKENIZER, messages_col: s
     """
     rows = records.select(normal_name(F.col(source_col)).alias("source"), normal_name(F.col(task_col)).alias("task"), F.col(messages_col).alias("messages"))
     counted = rows.mapInArrow(_count_batches, "source string, lang string, task string, piece string, n long")
-    # The partial counts of a slice's records have no piece: they are spread by slice.
-    pieces = counted.repartition("piece", F.when(F.col("piece").isNull(), F.hash("source", "lang", "task"))).groupBy("source", "lang", "task", "piece").agg(F.sum("n").alias("n"))
-    weighed = pieces.select("source", "lang", "task", "piece", "n").mapInArrow(_weigher(tokenizer), "source string, lang string, task string, records long, tokens long")
+    # Counts meet by slice and piece first, so that a piece as frequent as " the" comes to the task that merges it once per slice. Counts of a slice's records have no piece: they are spread by slice.
+    pieces = counted.groupBy("source", "lang", "task", "piece").agg(F.sum("n").alias("n")).repartition("piece", F.when(F.col("piece").isNull(), F.hash("source", "lang", "task")))
+    weighed = pieces.mapInArrow(_weigher(shipped(records, tokenizer)), "source string, lang string, task string, records long, tokens long")
     return weighed.groupBy("source", "lang", "task").agg(F.sum("records").alias("records"), F.sum("tokens").alias("tokens"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable, Iterator
 
@@ -18,14 +19,27 @@ TOKENIZER = os.path.join(os.environ.get("SPARKLOOM_TOKENIZERS", "/opt/tokenizers
 #: Texts encoded together are cut where they exceed so many characters.
 CHARACTERS = 4_000_000
 
+#: Largest tokenizer file that is sent to the executors.
+MOST_BYTES = 64_000_000
+
 _stores: dict[str, Pieces] = {}
 
 
-def store(path: str) -> Pieces:
-    """The known pieces of a tokenizer file, kept while the Python worker lives."""
-    if path not in _stores:
-        _stores[path] = Pieces(path)
-    return _stores[path]
+def shipped(df: DataFrame, path: str):  # noqa: ANN201 - a broadcast
+    """(digest, bytes) of a tokenizer file of the driver, for its executors: they need no copy of it. Raises ``ValueError`` above MOST_BYTES."""
+    with open(path, "rb") as f:
+        data = f.read(MOST_BYTES + 1)
+    if len(data) > MOST_BYTES:
+        raise ValueError(f"{path} is larger than {MOST_BYTES} bytes")
+    return df.sparkSession.sparkContext.broadcast((hashlib.sha256(data).hexdigest(), data))
+
+
+def store(tokenizer) -> Pieces:  # noqa: ANN001 - a broadcast of shipped()
+    """The known pieces of a tokenizer, kept while the Python worker lives."""
+    digest, data = tokenizer.value
+    if digest not in _stores:
+        _stores[digest] = Pieces(data)
+    return _stores[digest]
 
 
 def groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -41,18 +55,18 @@ def groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def counts(path: str, texts: list[str | None]) -> np.ndarray:
+def counts(own: Pieces, texts: list[str | None]) -> np.ndarray:
     """Tokens of each text."""
-    own = store(path)
     parts = [own.encode(texts[a:b])[1] for a, b in groups(texts)]
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
-def _message_counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _message_counter(tokenizer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = store(tokenizer)
         for batch in batches:
             rows = [m or () for m in message_rows(batch)]
-            by_message = counts(path, [content for m in rows for _, content in m])
+            by_message = counts(own, [content for m in rows for _, content in m])
             ends = np.concatenate(([0], np.cumsum(by_message)))[np.concatenate(([0], np.cumsum([len(m) for m in rows]))).astype(np.int64)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64))], names=["record_id", "n_tokens"])
 
@@ -62,13 +76,14 @@ def _message_counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 def record_tokens(records: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "record_id", messages_col: str = "messages") -> DataFrame:
     """(record_id, n_tokens): tokens of all message contents together, without special tokens; null or empty messages and contents count 0."""
     rows = records.select(F.col(id_col).cast("long").alias("record_id"), F.col(messages_col).alias("messages"))
-    return rows.mapInArrow(_message_counter(tokenizer), "record_id long, n_tokens long")
+    return rows.mapInArrow(_message_counter(shipped(records, tokenizer)), "record_id long, n_tokens long")
 
 
-def _text_counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _text_counter(tokenizer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = store(tokenizer)
         for batch in batches:
-            n = counts(path, batch.column(batch.num_columns - 1).to_pylist())
+            n = counts(own, batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n.astype(np.int64))], names=[*batch.schema.names[:-1], "n_tokens"])
 
     return run
@@ -78,4 +93,4 @@ def text_tokens(rows: DataFrame, text_col: str, keep: list[str], tokenizer: str
     """The columns ``keep`` and ``n_tokens`` of each text; null and empty texts count 0."""
     picked = rows.select(*keep, F.col(text_col))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(_text_counter(tokenizer), kinds + ", n_tokens long")
+    return picked.mapInArrow(_text_counter(shipped(rows, tokenizer)), kinds + ", n_tokens long")

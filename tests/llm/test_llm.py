@@ -217,8 +217,13 @@ def test_packing(spark):
         assert +whole == +want
         assert all(parts[i] == 1 for i, n in sizes if (n or 0) <= capacity and i not in (3, None))
         assert all(r.n_tokens == capacity for r in mine if r.part < (dict(sizes)[r.record_id] or 0) // capacity)
-    fill = {r.stage: r.fill for r in packing.packing_report(placed, limits).collect()}
+    fill = {r.stage: r.fill for r in packing.packing_report(placed).collect()}
     assert fill["a"] > 0.95
+    assert sorted((r.stage, r.overfull, r.overlapping) for r in packing.packing_invariants(placed).collect()) == [("a", 0, 0), ("b", 0, 0)]
+    twice = spark.createDataFrame([("a", 256), ("a", 100), (None, 100), ("a", 100)], "stage string, max_seq_length int")
+    placed = packing.pack_lengths(lengths, twice)
+    assert sorted((str(r.stage), r.capacity, r.tokens) for r in packing.packing_report(placed).collect()) == [(s, c, sum(n or 0 for _, n in sizes)) for s, c in (("None", 100), ("a", 100), ("a", 256))]
+    assert placed.select("seq_id").distinct().count() == placed.select("stage", "capacity", "seq_id").distinct().count()
     assert packing.pack_lengths(lengths.limit(0), limits).count() == 0 and packing.pack_lengths(lengths, limits.limit(0)).count() == 0
 
 
@@ -241,11 +246,29 @@ def test_encoding_equals_the_library(spark):
     for r in got:
         assert r.ids == library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
     assert encode.encode_texts(df.limit(0)).count() == 0
+    back = {r.doc_id: r.text for r in encode.decode_texts(encode.encode_texts(df.where("doc_id > 0"))).collect()}
+    assert back == {i: t or "" for i, t in enumerate(texts) if i}
+
+
+@needs_tokenizer
+def test_long_pieces_take_time_in_proportion():
+    merges, rng = bpe.Merges(TOKENIZER.read_bytes()), random.Random(6)
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(str(TOKENIZER))
+    took = []
+    for n in (20_000, 160_000):
+        text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        began = time.process_time()
+        ids = merges.encode([text.encode()])[0]
+        took.append(time.process_time() - began)
+        assert n > 20_000 or ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert took[1] < 14 * took[0] + 0.5
+    with pytest.raises(ValueError):
+        bpe.Merges(TOKENIZER.read_bytes().replace(b'"normalizer":null', b'"normalizer":{"type":"Lowercase"}').replace(b'"normalizer": null', b'"normalizer": {"type": "Lowercase"}'))
 
 
 @needs_tokenizer
 def test_store_starts_anew():
-    small, large = bpe.Pieces(str(TOKENIZER), limit=20), bpe.Pieces(str(TOKENIZER))
+    small, large = bpe.Pieces(TOKENIZER.read_bytes(), limit=20), bpe.Pieces(TOKENIZER.read_bytes())
     for texts in (["some words here"], ["other words there, and many more of them than before"], ["some words here", None]):
         a, b = small.encode(texts), large.encode(texts)
         assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
@@ -258,7 +281,8 @@ def test_budget(spark, records):
         extra="'z' as piece;'q' as lang;1 as n",
     )
     got = {(r.source, r.lang): (r.records, r.tokens) for r in tokenbudget.token_budget(df).collect()}
-    n = lambda *t: int(tokens.counts(tokens.TOKENIZER, list(t)).sum())
+    pieces = bpe.Pieces(TOKENIZER.read_bytes())
+    n = lambda *t: int(tokens.counts(pieces, list(t)).sum())
     assert got == {("my_source", "en"): (3, n("This is the house, and it is mine.", "This is the dog.", "This is the dog.")), ("my_source", "es"): (1, n("El perro y la casa de mi madre")), ("unknown", "und"): (1, 0)}
     assert tokenbudget.token_budget(df.limit(0)).count() == 0
 
