@@ -2,12 +2,15 @@
 
 Boosted regression trees are trained on distributions of word length, syllables,
 vocabulary, syntax and cohesion of the rated documents. How demanding a word is, is
-learnt from the ratings of the documents it occurs in, out of fold while training.
-Predictions are cross-validated by source; thresholds that turn them into bands are
-calibrated on the held-out predictions.
+learnt from the ratings of the documents it occurs in: for a training row from other
+sources only, for a held-out row from the training sources only. Predictions are
+cross-validated by source, with the settings of the model that is shipped; thresholds
+that turn them into bands are calibrated on the held-out predictions.
 
 The model is fitted on a bounded sample of rated documents (``MOST_RATED``); everything
-else covers all documents. Prediction is one pass over the texts, without a shuffle.
+else covers all documents. Rated texts are measured where they lie; one task fits the
+model from numbers alone, and only the model, of bounded size, reaches the driver.
+Prediction is one pass over the texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,8 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _SENTENCE = re.compile(r"[.!?;:]+\s+|[\r\n]+")
 _CAPITAL = re.compile(r"(?:\A|\s)[A-Z]")
 _VOWELS = re.compile(r"[aeiouy]+")
-_QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
+_QUANTILES, _SPREAD = (0.1, 0.25, 0.5, 0.75, 0.9), (0.25, 0.5, 0.75)
+_NONE_SHARED = [0.0] * len(_SPREAD)
 # Words that subordinate, connect, address or build the passive.
 _GROUPS = tuple(
     frozenset(g.split())
@@ -75,6 +79,10 @@ def _word_facts(word: str, known: dict[str, tuple[float, float]]) -> tuple[float
 _facts: dict[str, tuple[float, float]] = {}
 
 
+def _word_id(word: str) -> int:
+    return xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
 def _at(values: np.ndarray, shares: tuple[float, ...]) -> list[float]:
     """The values at shares of their order, without interpolation."""
     ordered = np.sort(values)
@@ -107,49 +115,48 @@ def measure(text: str, sentences: list[list[str]]) -> np.ndarray:
         mean, ((lengths**2).sum() / n - mean**2) ** 0.5, *_at(lengths, _QUANTILES), (lengths >= 7).sum() / n, (lengths >= 10).sum() / n, (lengths >= 13).sum() / n, (lengths <= 3).sum() / n,
         syllables.sum() / n, (syllables >= 3).sum() / n, (syllables >= 4).sum() / n, (syllables == 1).sum() / n,
         n / len(sentences), *_at(per_sentence, _QUANTILES), (per_sentence**2).sum() / n, n / (1 + len(_CAPITAL.findall(text))),
-        len(counts) / n, len(counts) / n**0.5, sum(shared) / (1 + len(shared)), text.count(",") / n, (text.count(";") + text.count(":")) / n, text.count("?") / n, text.count("-") / n,
+        len(counts) / n, len(counts) / n**0.5, sum(shared) / (1 + len(shared)), *(_at(np.array(shared), _SPREAD) if shared else _NONE_SHARED), text.count(",") / n, (text.count(";") + text.count(":")) / n, text.count("?") / n, text.count("-") / n,
         *(sum(counts.get(w, 0) for w in g) / n for g in _GROUPS), np.log(n),
     ]
     return np.array(out, float)
 
 
-def _difficulty_features(sentences: list[list[str]], difficulty: dict[str, float], middle: float) -> np.ndarray:
-    get = difficulty.get
-    flat = np.array([get(w, middle) for s in sentences for w in s])
-    sizes = np.array([len(s) for s in sentences])
-    means = np.add.reduceat(flat, np.concatenate(([0], np.cumsum(sizes)[:-1]))) / sizes
-    mean = flat.sum() / len(flat)
-    return np.array([mean, max(0.0, (flat**2).sum() / len(flat) - mean**2) ** 0.5, *_at(flat, _QUANTILES), *_at(means, _QUANTILES)])
-
-
-def _learn_difficulty(docs: list[list[list[str]]], y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, float], float]:
-    """How demanding each word is: the mean band of the documents it stands in, drawn to the overall mean where they are few."""
-    middle = float(np.average(y, weights=weight))
-    total: dict[str, float] = defaultdict(float)
-    seen: dict[str, float] = defaultdict(float)
-    for sentences, band, w in zip(docs, y.tolist(), weight.tolist()):
-        for word in {x for s in sentences for x in s}:
-            total[word] += w * band
-            seen[word] += w
-    kept = sorted((x for x in seen if seen[x] >= 2), key=lambda x: (-seen[x], x))[:MOST_WORDS]
-    return {x: (total[x] + 3 * middle) / (seen[x] + 3) for x in kept}, middle
+def _difficulty_features(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Features of how demanding the words of a text are, given in order, with the number of words of each sentence."""
+    means = np.add.reduceat(values, np.concatenate(([0], np.cumsum(sizes)[:-1]))) / sizes
+    mean = values.sum() / len(values)
+    return np.array([mean, max(0.0, (values**2).sum() / len(values) - mean**2) ** 0.5, *_at(values, _QUANTILES), *_at(means, _QUANTILES)])
 
 
 @dataclass
 class ReadingModel:
-    """What turns a text into a band."""
+    """What turns a text into a band. ``difficulty`` is by word id."""
 
-    difficulty: dict[str, float]
+    difficulty: dict[int, float]
     middle: float
     trees: Boosted
     cuts: np.ndarray
     report: list[tuple[str, int, float, float, float]]
+    known: dict[str, float] = field(default_factory=dict)
+
+    def _difficulty_of(self, words: list[str]) -> list[float]:
+        known = self.known
+        try:
+            return [known[w] for w in words]
+        except KeyError:
+            if len(known) > 500_000:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = self.difficulty.get(_word_id(w), self.middle)
+            return [known[w] for w in words]
 
     def scores(self, measured: list[tuple[np.ndarray, list[list[str]]]]) -> np.ndarray:
         """The predicted level of each measured text."""
         if not measured:
             return np.empty(0)
-        return self.trees.predict(np.stack([np.concatenate([f, _difficulty_features(s, self.difficulty, self.middle)]) for f, s in measured]))
+        rows = [np.concatenate([f, _difficulty_features(np.array(self._difficulty_of([w for x in s for w in x])), np.array([len(x) for x in s]))]) for f, s in measured]
+        return self.trees.predict(np.stack(rows))
 
     def bands(self, scores: np.ndarray) -> np.ndarray:
         """The band of each predicted level."""
@@ -180,36 +187,69 @@ def _calibrate(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndar
     return np.maximum.accumulate(np.array(cuts))
 
 
-def fit(texts: list[str], bands: np.ndarray, weight: np.ndarray, sources: list[str]) -> ReadingModel:
-    """Fit a model to rated texts. Without any rated text every document gets the middle band."""
-    measured, rows = [], []
-    for i, t in enumerate(texts):
-        sentences = english_sentences(t)
-        if sentences is not None:
-            measured.append((measure(t, sentences), sentences))
-            rows.append(i)
-    if not rows:
+class _Vocabulary:
+    """Ratings of the documents each word stands in, by fold, so that any folds can be left out."""
+
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, folds: np.ndarray) -> None:
+        distinct = [np.unique(words) for words, _ in docs]
+        row = np.repeat(np.arange(len(docs)), [len(d) for d in distinct])
+        self.words, at = np.unique(np.concatenate(distinct), return_inverse=True)
+        self.n_folds, size = int(folds.max()) + 1, len(self.words)
+        slot = folds[row] * size + at
+        self.seen = np.bincount(slot, weight[row], self.n_folds * size).reshape(self.n_folds, size)
+        self.total = np.bincount(slot, (weight * y)[row], self.n_folds * size).reshape(self.n_folds, size)
+        self.y, self.weight, self.folds = y, weight, folds
+        self.kept = np.zeros(size, bool)
+        self.kept[np.lexsort((self.words, -np.bincount(at, minlength=size)))[:MOST_WORDS]] = True
+        self.docs = [(np.searchsorted(self.words, words), sizes) for words, sizes in docs]
+
+    def difficulty(self, left_out: tuple[int, ...] = ()) -> tuple[np.ndarray, float]:
+        """How demanding each word is: the mean band of the documents it stands in, drawn to the overall mean where they are few, without some folds."""
+        folds = [k for k in range(self.n_folds) if k not in left_out]
+        rows = np.isin(self.folds, folds)
+        if not rows.any():
+            folds, rows = [], np.ones(len(self.y), bool)
+        middle = float(np.average(self.y[rows], weights=self.weight[rows]))
+        seen, total = self.seen[folds].sum(0), self.total[folds].sum(0)
+        return np.where(self.kept & (seen >= 2), (total + 3 * middle) / (seen + 3), middle), middle
+
+    def features(self, fold: int, left_out: tuple[int, ...]) -> np.ndarray:
+        """Vocabulary features of the rows of a fold, from the ratings of all but some folds."""
+        table, _ = self.difficulty(left_out)
+        rows = [_difficulty_features(table[self.docs[i][0]], self.docs[i][1]) for i in np.flatnonzero(self.folds == fold)]
+        return np.stack(rows) if rows else np.empty((0, _N_DIFFICULTY))
+
+
+#: Settings of the trees, alike for the shipped model and for those that are held against the ratings.
+ROUNDS, RATE = 120, 0.1
+
+
+def fit(plain: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]], bands: np.ndarray, weight: np.ndarray, sources: list[str]) -> ReadingModel:
+    """Fit a model to rated texts, given as features, (word ids, words of each sentence), ratings, weights and sources. Without any every document gets the middle band."""
+    n = len(docs)
+    if not n:
         trees = Boosted(rounds=0, edges=[np.empty(0)], base=(BANDS[0] + BANDS[1]) / 2)
         return ReadingModel({}, trees.base, trees, np.arange(BANDS[0], BANDS[1]) + 0.5, [])
-    y, weight, sources = bands[rows].astype(float), weight[rows], [sources[i] for i in rows]
-    plain, docs = np.stack([m[0] for m in measured]), [m[1] for m in measured]
-    n = len(rows)
-    # Vocabulary features of a training row come from the ratings of other rows.
-    inner = np.array([xxhash.xxh32_intdigest(str(i)) for i in range(n)]) % 5
-    vocabulary = np.zeros((n, _N_DIFFICULTY))
-    for k in range(5):
-        mine = np.flatnonzero(inner == k)
-        others = np.flatnonzero(inner != k) if len(mine) < n else mine
-        if len(mine):
-            table, middle = _learn_difficulty([docs[i] for i in others], y[others], weight[others])
-            vocabulary[mine] = [_difficulty_features(docs[i], table, middle) for i in mine]
-    x = np.concatenate([plain, vocabulary], axis=1)
-    held_out = np.full(n, np.average(y, weights=weight))
+    y = bands.astype(float)
     folds = _folds(sources, n)
-    for k in np.unique(folds):
-        test, train = folds == k, folds != k
-        if train.any():
-            held_out[test] = Boosted(rounds=70, rate=0.13).fit(x[train], y[train], weight[train]).predict(x[test])
+    vocabulary = _Vocabulary(docs, y, weight, folds)
+    every = range(vocabulary.n_folds)
+
+    def rows_without(k: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the training rows, their features) where fold ``k`` is held out; the ratings of a row's own fold don't count for it."""
+        used = [j for j in every if j != k]
+        at = [np.flatnonzero(folds == j) for j in used]
+        own = [vocabulary.features(j, (j,) if k is None else (j, k)) for j in used]
+        at = np.concatenate(at) if at else np.empty(0, np.int64)
+        return at, np.concatenate([plain[at], np.concatenate(own) if own else np.empty((0, _N_DIFFICULTY))], axis=1)
+
+    held_out = np.full(n, np.average(y, weights=weight))
+    for k in every:
+        at, x = rows_without(k)
+        test = np.flatnonzero(folds == k)
+        if len(at) and len(test):
+            model = Boosted(rounds=ROUNDS, rate=RATE).fit(x, y[at], weight[at])
+            held_out[test] = model.predict(np.concatenate([plain[test], vocabulary.features(k, (k,))], axis=1))
     cuts = _calibrate(held_out, y, weight)
     got = np.searchsorted(cuts, held_out, "right") + BANDS[0]
     nearest = np.rint(y)
@@ -217,16 +257,35 @@ def fit(texts: list[str], bands: np.ndarray, weight: np.ndarray, sources: list[s
     for s in sorted(set(sources)):
         at = np.array([g == s for g in sources])
         report.append((s, int(at.sum()), float(np.abs(held_out[at] - y[at]).mean()), float((got[at] == nearest[at]).mean()), float((np.abs(got[at] - nearest[at]) <= 1).mean())))
-    table, middle = _learn_difficulty(docs, y, weight)
-    return ReadingModel(table, middle, Boosted(rounds=120).fit(x, y, weight), cuts, report)
+    at, x = rows_without(None)
+    table, middle = vocabulary.difficulty()
+    learnt = np.flatnonzero(table != middle)
+    return ReadingModel(dict(zip(vocabulary.words[learnt].tolist(), table[learnt].tolist())), middle, Boosted(rounds=ROUNDS, rate=RATE).fit(x, y[at], weight[at]), cuts, report)
 
 
-_RATED = "doc_id long, source string, text string"
+_MEASURED = "doc_id long, source string, band double, raters long, plain binary, words binary, sizes binary"
 
 
-def _keep_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure_rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.filter(pa.array([english_sentences(t) is not None for t in batch.column(2).to_pylist()], pa.bool_()))
+        kept, plain, words, sizes = [], [], [], []
+        for i, text in enumerate(batch.column(4).to_pylist()):
+            sentences = english_sentences(text)
+            if sentences is not None:
+                kept.append(i)
+                plain.append(measure(text, sentences).tobytes())
+                words.append(np.array([_word_id(w) for s in sentences for w in s], np.uint32).tobytes())
+                sizes.append(np.array([len(s) for s in sentences], np.int32).tobytes())
+        rows = batch.take(pa.array(kept, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*rows.columns[:4], *(pa.array(v, pa.binary()) for v in (plain, words, sizes))], names=["doc_id", "source", "band", "raters", "plain", "words", "sizes"])
+
+
+def _fit_measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["source"], r["words"]))
+    plain = np.stack([np.frombuffer(r["plain"], float) for r in rows]) if rows else np.empty((0, 0))
+    docs = [(np.frombuffer(r["words"], np.uint32), np.frombuffer(r["sizes"], np.int32)) for r in rows]
+    model = fit(plain, docs, np.array([r["band"] for r in rows]), np.array([min(3, r["raters"]) for r in rows], float), [r["source"] for r in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def train(documents: DataFrame, labels: DataFrame, most_rated: int = MOST_RATED) -> ReadingModel:
@@ -237,16 +296,11 @@ def train(documents: DataFrame, labels: DataFrame, most_rated: int = MOST_RATED)
     """
     one = labels.where(f"band between {BANDS[0]} and {BANDS[1]} and doc_id is not null").groupBy("doc_id", "rater").agg(F.avg("band").alias("band"))
     rated = one.groupBy("doc_id").agg(F.percentile("band", 0.5).alias("band"), F.count(F.lit(1)).alias("raters"))
-    drawn = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rated).toArrow()
-    target = dict(zip(drawn.column("doc_id").to_pylist(), zip(drawn.column("band").to_pylist(), drawn.column("raters").to_pylist())))
-    spark = documents.sparkSession
-    ids = F.broadcast(spark.createDataFrame([(i,) for i in target], "doc_id long"))  # most_rated ids at most
-    rows = documents.where(F.length("text") <= MOST_CHARACTERS).select(F.col("doc_id").cast("long").alias("doc_id"), normal_name(F.col("source")).alias("source"), "text").join(ids, "doc_id", "left_semi")
-    found = rows.mapInArrow(_keep_candidates, _RATED).toArrow().sort_by("doc_id")
-    doc_ids = found.column("doc_id").to_pylist()
-    bands = np.array([target[i][0] for i in doc_ids], float)
-    weight = np.array([min(3, target[i][1]) for i in doc_ids], float)
-    return fit(found.column("text").to_pylist(), bands, weight, found.column("source").to_pylist())
+    drawn = F.broadcast(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rated))  # most_rated rows of three numbers at most
+    rows = documents.where(F.length("text") <= MOST_CHARACTERS).select(F.col("doc_id").cast("long").alias("doc_id"), normal_name(F.col("source")).alias("source"), "text").join(drawn, "doc_id")
+    measured = rows.select("doc_id", "source", "band", "raters", "text").mapInArrow(_measure_rated, _MEASURED)
+    found = measured.repartition(1).mapInArrow(_fit_measured, "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit(np.empty((0, 0)), [], np.empty(0), np.empty(0), [])
 
 
 def _predictor(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001 - a broadcast of bytes
