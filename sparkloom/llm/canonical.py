@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
+from functools import lru_cache
 
 #: What stands between labelled fields, in the order tried.
 _SEPARATORS = (re.compile(r"[\r\n;|  \x85]+"), re.compile(r"[\r\n  \x85]+"), re.compile(r"\|"), re.compile(r";"))
@@ -38,6 +39,7 @@ _ASCII_WORDS = re.compile(r"[a-z0-9]+")
 _ASCII_DROP = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
+@lru_cache(4096)
 def role_of(role: str | None) -> str:
     """A role without case, outer white space and invisible characters; null gives ''."""
     return "".join(c for c in role if not c.isspace() and unicodedata.category(c) != "Cf").lower() if role else ""
