@@ -46,7 +46,8 @@ _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def _any(patterns: tuple[str, ...]) -> str:
-    return "|".join(f"(?:{p})" for p in patterns)
+    """Any of the patterns; classes and word boundaries of all scripts, in every version of Java."""
+    return "(?U:" + "|".join(f"(?:{p})" for p in patterns) + ")"
 
 
 def strip(text: Column) -> Column:

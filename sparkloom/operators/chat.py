@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import strip
+from sparkloom.plans.durable import durable
 
 EXIT_WORDS = ("exit", "quit")
 
@@ -35,10 +36,14 @@ def batch_numbers(rows: DataFrame, size: int, order: str = "pos") -> DataFrame:
 
 
 def dense_position(rows: DataFrame, order: str, name: str = "pos") -> DataFrame:
-    """Rows with their place (from 0) by ``order``, found by range partitions and their sizes instead of one global window."""
+    """Rows with their place (from 0) by ``order``, found by range partitions and their sizes instead of one global window. Equal values of ``order`` stand in any order.
+
+    The partitioned rows are written once: bounds of range partitions come from a sample,
+    so rows and counts read apart would not agree on them.
+    """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    sorted_rows = durable(rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = sorted_rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # one row a partition
     within = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1

@@ -13,9 +13,13 @@ from sparkloom.operators.dedup import drop_exact_duplicates, without_conflicts
 LABELS = ("negative", "neutral", "positive")
 
 
-def clean_sentences(rows: DataFrame, labels: Sequence[str] = LABELS, label: str = "label", sentence: str = "sentence") -> DataFrame:
-    """(label, sentence): normalised, with a known label and something in the sentence, each once, none under two labels. Null counts as blank."""
-    even = rows.select(normal_label(F.col(label)).alias("label"), squeeze(F.coalesce(F.col(sentence).cast("string"), F.lit(""))).alias("sentence"))
+def clean_sentences(rows: DataFrame, labels: Sequence[str] = LABELS, label: str = "label", sentence: str = "sentence", null_sentence: str = "nan") -> DataFrame:
+    """(label, sentence): normalised, with a known label and something in the sentence, each once, none under two labels.
+
+    A null sentence is the text ``null_sentence``, as text made of a missing value is; ''
+    leaves such rows out. A null label is none of the known ones.
+    """
+    even = rows.select(normal_label(F.col(label)).alias("label"), squeeze(F.coalesce(F.col(sentence).cast("string"), F.lit(null_sentence))).alias("sentence"))
     return without_conflicts(drop_exact_duplicates(even.where((F.col("sentence") != "") & F.col("label").isin(*labels)), ["label", "sentence"]))
 
 
@@ -83,3 +87,11 @@ def report(predictions: DataFrame, gold: str = "gold", pred: str = "pred") -> Da
     scores = class_scores(predictions, gold, pred).select(F.col("label").cast("string").alias("name"), "precision", "recall", "f1", "support")
     right = accuracy(predictions, gold, pred).select(F.lit("accuracy").alias("name"), *[F.col("accuracy").alias(m) for m in ("precision", "recall", "f1")], F.col("n").alias("support"))
     return scores.unionByName(right).unionByName(averages(predictions, gold, pred).withColumnRenamed("average", "name"))
+
+
+def compute_metrics(predictions: DataFrame, gold: str = "gold", pred: str = "pred") -> dict[str, float]:
+    """Accuracy, and macro and weighted precision, recall and F1, by name: what a trainer asks of its metric callback. No rows give zeros."""
+    out = {"accuracy": float(accuracy(predictions, gold, pred).first().accuracy or 0.0)}
+    for r in averages(predictions, gold, pred).collect():  # two rows
+        out |= {f"{r.average}_{m}": float(r[m] or 0.0) for m in ("precision", "recall", "f1")}
+    return out

@@ -25,8 +25,8 @@ def summary(rows: DataFrame) -> DataFrame:
 
 
 def turn_stats(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows, and the sum, mean (3 places) and maximum of messages but the system ones; 0 where there are no rows."""
-    turns = F.coalesce(F.greatest(turn_count(F.col("messages")), F.lit(0)), F.lit(0)).cast("long")
+    """Rows, and the sum, mean (3 places) and maximum of messages but the system ones, or of a column ``turns`` that has their number; 0 where there are no rows."""
+    turns = F.col("turns") if "turns" in rows.columns else F.coalesce(F.greatest(turn_count(F.col("messages")), F.lit(0)), F.lit(0)).cast("long")
     return rows.select(*by, turns.alias("_t")).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_t"), F.lit(0)).alias("turns"), F.coalesce(F.round(F.avg("_t"), 3), F.lit(0.0)).alias("avg_turns"), F.coalesce(F.max("_t"), F.lit(0)).alias("max_turns")
     )

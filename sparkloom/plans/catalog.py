@@ -15,9 +15,11 @@ from sparkloom.operators import builders, chat, classify, dedup, judge, sampling
 from sparkloom.plans import mixture
 from sparkloom.plans import oracle as O
 from sparkloom.plans.config import DialogueRules, MixturePlan, MixtureTarget, SplitSize
-from sparkloom.plans.durable import durable
+from sparkloom.plans.durable import durable, new_folder
+from sparkloom.sources import readers, sinks
 from sparkloom.sources.readers import optional_split
 from sparkloom.sources.tables import spread, table
+from sparkloom.streaming.chat import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,7 +170,7 @@ def validate_messages(spark: SparkSession, folder: str) -> DataFrame:
 def signatures(spark: SparkSession, folder: str) -> DataFrame:
     """Signatures of records."""
     # The SQL can't normalise compatibility characters.
-    return mixture.pool_of_records(spread(table(spark, folder, "finetune_data")), nfkc=False).select("pos", "user_sig", "full_sig", big(F.size("messages")).alias("turns"))
+    return mixture.pool_of_records(spread(table(spark, folder, "finetune_data"))).select("pos", "user_sig", "full_sig", big(F.size("messages")).alias("turns"))
 
 
 @register("SELECT record_id, (SELECT coalesce(string_agg('<|' || m.role || '|>' || chr(10) || coalesce(m.content, '') || chr(10), '' ORDER BY i), '') FROM (SELECT unnest(messages) AS m, unnest(range(len(messages))) AS i)) || '<|assistant|>' AS text FROM (SELECT * FROM finetune_data WHERE messages IS NOT NULL AND len(list_filter(messages, lambda m: m.role IS NULL)) = 0)")
@@ -181,13 +183,13 @@ def render_chat(spark: SparkSession, folder: str) -> DataFrame:
 # --- Builders -------------------------------------------------------------------------
 
 
-def _dialogue_sql(most: int, least: int, source: str, task: str) -> str:
+def _dialogue_sql(most: int, least: int, source: str, task: str, openings: bool) -> str:
     return f"""WITH {O.TURNS}, {O.tail(most)},
       d AS (SELECT id AS orig_id, count(*) AS n_messages, {O.json_messages(P.CONSULT_SYSTEM)} AS js, first(content ORDER BY g) AS opening FROM u GROUP BY rid, id HAVING count(*) >= {least} AND {O.VALID})
-      SELECT orig_id, n_messages, {O.ident(source, task, 'js')} AS id FROM d WHERE NOT regexp_matches(lower(opening), '\\A(?:{O.alternatives(P.PROVIDER_OPENINGS)})')"""
+      SELECT orig_id, n_messages, {O.ident(source, task, 'js')} AS id FROM d""" + (f" WHERE NOT regexp_matches(lower(opening), '\\A(?:{O.alternatives(P.PROVIDER_OPENINGS)})')" if openings else "")
 
 
-@register(_dialogue_sql(3, 2, "consult", "single_turn_consult"))
+@register(_dialogue_sql(3, 2, "consult", "single_turn_consult", True))
 def build_single_turn(spark: SparkSession, folder: str) -> DataFrame:
     """Short dialogues as examples."""
     rules = DialogueRules(most_messages=3, least_messages=2, drop_provider_openings=True)
@@ -195,10 +197,10 @@ def build_single_turn(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("meta.orig_id", big(F.col("meta.n_messages")).alias("n_messages"), "id")
 
 
-@register(_dialogue_sql(12, 4, "exam_dialogue", "multi_turn_consult"))
+@register(_dialogue_sql(12, 4, "exam_dialogue", "multi_turn_consult", False))
 def build_multi_turn(spark: SparkSession, folder: str) -> DataFrame:
     """Long dialogues as examples."""
-    rules = DialogueRules(most_messages=12, least_messages=4, drop_provider_openings=True)
+    rules = DialogueRules(most_messages=12, least_messages=4, drop_provider_openings=False)
     made = builders.dialogue_examples(spread(table(spark, folder, "dialogue")), [], "exam_dialogue", "multi_turn_consult", rules)
     return made.select("meta.orig_id", big(F.col("meta.n_messages")).alias("n_messages"), "id")
 
@@ -209,8 +211,12 @@ def build_multi_turn(spark: SparkSession, folder: str) -> DataFrame:
     WHERE length(context) >= 20 AND length(question) >= 20 AND NOT regexp_matches(lower(context), '\\A(?:{O.alternatives(P.PROVIDER_OPENINGS)})')"""
 )
 def build_followup(spark: SparkSession, folder: str) -> DataFrame:
-    """Contexts with the question to ask, as examples."""
-    rows = table(spark, folder, "reference_qa").select(F.col("document_id").alias("id"), F.col("answer").alias("context"), "question", F.lit(None).cast(M.MESSAGES).alias("messages"))
+    """Contexts with the question to ask, as examples: every other one as messages, whose other columns say nothing."""
+    as_list = F.length(F.coalesce("answer", F.lit(""))) % 2 == 1
+    messages = F.array(M.message(" User ", F.col("answer")), M.message("assistant", F.col("question")))
+    rows = table(spark, folder, "reference_qa").select(
+        F.col("document_id").alias("id"), F.when(~as_list, F.col("answer")).alias("context"), F.when(~as_list, F.col("question")).alias("question"), F.when(as_list, messages).cast(M.MESSAGES).alias("messages")
+    )
     return builders.followup_examples(rows, []).select("meta.orig_id", "id")
 
 
@@ -313,7 +319,7 @@ _LENIENT = _PRIORITY[:2]
 
 
 def _pool(spark: SparkSession, folder: str) -> DataFrame:
-    return mixture.pool_of_records(spread(table(spark, folder, "finetune_data")), nfkc=False)
+    return mixture.pool_of_records(spread(table(spark, folder, "finetune_data")))
 
 
 @register(f"WITH {O.POOL}, d AS (SELECT *, row_number() OVER (PARTITION BY source, split, user_sig ORDER BY pos) AS rn FROM pool) SELECT pos, source, split FROM d WHERE rn = 1")
@@ -432,10 +438,18 @@ def head_rows(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.head(table(spark, folder, "finetune_data").select("record_id", "split"), 20, "record_id")
 
 
-@register("SELECT record_id, md5('7|' || record_id::VARCHAR) AS place FROM finetune_data")
+@register("SELECT record_id, row_number() OVER (ORDER BY md5('7|' || record_id::VARCHAR)) - 1 AS place FROM finetune_data")
 def global_shuffle(spark: SparkSession, folder: str) -> DataFrame:
-    """All rows in seeded order."""
-    return sampling.shuffled(table(spark, folder, "finetune_data").select("record_id"), 7, "record_id").withColumn("place", sampling.seeded(7, "record_id"))
+    """All rows with their place in seeded order, found as a writer of ordered files would."""
+    rows = table(spark, folder, "finetune_data").select("record_id", sampling.seeded(7, "record_id").alias("_key"))
+    return chat.dense_position(rows, "_key", "place").select("record_id", "place")
+
+
+@register("SELECT split, record_id, row_number() OVER (PARTITION BY split ORDER BY md5('9|' || record_id::VARCHAR)) AS place FROM finetune_data")
+def split_shuffle(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of each row in the seeded order of its split."""
+    rows = table(spark, folder, "finetune_data").select("split", "record_id")
+    return sampling.ranked(rows, ["split"], sampling.seeded(9, "record_id"), ["record_id"], "place").select("split", "record_id", "place")
 
 
 # --- Summaries ------------------------------------------------------------------------
@@ -636,20 +650,53 @@ def argmax(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(
-    f"WITH {O.TURNS}, n AS (SELECT id, rid, g, row_number() OVER (PARTITION BY rid ORDER BY g) AS turn, content FROM t) SELECT id, turn, CAST(sum(length(content)) OVER (PARTITION BY rid ORDER BY g) AS BIGINT) AS history_chars FROM n"
+    f"""WITH {O.TURNS}, n AS (SELECT id, rid, g, row_number() OVER (PARTITION BY rid ORDER BY g) AS turn, role, content FROM t)
+    SELECT id, turn, CAST(turn AS BIGINT) AS history_turns, md5(array_to_string(list(role || ': ' || content) OVER (PARTITION BY rid ORDER BY g), chr(10))) AS history FROM n"""
 )
 def chat_history_prefix(spark: SparkSession, folder: str) -> DataFrame:
     """The history each turn of a dialogue sees."""
     rows = _turns(spark, folder).where("size(turns) > 0").select("id", F.posexplode(chat.prefixes_of(F.col("turns"))).alias("turn", "history"))
-    chars = F.aggregate("history", F.lit(0), lambda n, m: n + F.length(m.content))
-    return rows.select("id", big(F.col("turn") + 1).alias("turn"), big(chars).alias("history_chars"))
+    said = F.array_join(F.transform("history", lambda m: F.concat(m.role, F.lit(": "), m.content)), "\n")
+    return rows.select("id", big(F.col("turn") + 1).alias("turn"), big(F.size("history")).alias("history_turns"), F.md5(said).alias("history"))
 
 
-@register("SELECT line_no, CAST(floor((row_number() OVER (ORDER BY line_no) - 1) / 16) AS BIGINT) AS batch FROM generation")
+@register("SELECT line_no, CAST(floor((row_number() OVER (ORDER BY line_no) - 1) / 16) AS BIGINT) AS batch, prompt_id, response FROM generation")
 def prompt_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of sixteen in order."""
-    rows = chat.dense_position(table(spark, folder, "generation").select("line_no"), "line_no")
-    return chat.batch_numbers(rows, 16).select("line_no", big(F.col("batch")).alias("batch"))
+    rows = chat.dense_position(table(spark, folder, "generation").select("line_no", "prompt_id", "response"), "line_no")
+    return chat.batch_numbers(rows, 16).select("line_no", big(F.col("batch")).alias("batch"), "prompt_id", "response")
+
+
+_TOKENS = "regexp_extract_all(coalesce({0}, ''), '[\\pL\\pN_]+|[^\\pL\\pN_\\s\\pZ]')"
+
+
+def _lengths_of(texts: list[str]) -> list[list[int]]:
+    """A stand-in for ids: the length of each token."""
+    return [list(map(len, tokens)) for tokens in hooks.word_tokenizer(texts)]
+
+
+@register(f"SELECT id, array_to_string(list_transform({_TOKENS.format('exp')}[1:12], lambda x: length(x)), ' ') AS ids FROM mcq")
+def encode_truncated(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts encoded and cut by a pluggable tokenizer, a batch at a time."""
+    return table(spark, folder, "mcq").select("id", F.array_join(hooks.encode_truncated(F.col("exp"), _lengths_of, 12).cast("array<string>"), " ").alias("ids"))
+
+
+@register(
+    f"""WITH t AS (SELECT (line_no - 1) // 8 AS batch, len({_TOKENS.format('response')}[1:40]) AS n, list_sum(list_transform({_TOKENS.format('response')}[1:40], lambda x: length(x))) AS s FROM generation)
+    SELECT CAST(batch AS BIGINT) AS batch, count(*) AS rows, CAST(max(n) AS BIGINT) AS width, CAST(sum(n) AS BIGINT) AS unmasked, CAST(coalesce(sum(s), 0) AS BIGINT) AS total FROM t GROUP BY batch"""
+)
+def padded_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches padded to their longest row: size, width, cells that aren't padding, sum of the ids."""
+    rows = table(spark, folder, "generation").select(F.floor((F.col("line_no") - 1) / 8).alias("batch"), "line_no", hooks.encode_truncated(F.col("response"), _lengths_of, 40).alias("ids"))
+    made = hooks.padded_batches(rows, "batch", "line_no")
+    total = lambda c: big(F.aggregate(F.flatten(c), F.lit(0).cast("long"), lambda a, x: a + x))
+    return made.select("batch", big(F.size("input_ids")).alias("rows"), big(F.size(F.get("input_ids", 0))).alias("width"), total("attention_mask").alias("unmasked"), total("input_ids").alias("total"))
+
+
+@register("SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Events in windows of event time."""
+    return windowed_counts(table(spark, folder, "events")).withColumn("total", F.round("total", 4))
 
 
 @register("SELECT event_type AS tag, event_id AS step, value FROM events WHERE event_type = 'purchase'")
@@ -680,16 +727,20 @@ def step_budget(spark: SparkSession, folder: str) -> DataFrame:
     return stats.count_by(table(spark, folder, "finetune_data"), "split").select("split", big(steps).alias("steps"), big(warmup).alias("warmup"))
 
 
-@register("SELECT id, len(regexp_extract_all(coalesce(question, ''), '[\\pL\\pN_]+|[^\\pL\\pN_\\s\\pZ]')) AS tokens FROM mcq")
+@register(f"SELECT id, len({_TOKENS.format('question')}) AS tokens, len({_TOKENS.format('question')}) AS built_in FROM mcq")
 def token_lengths(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens by a pluggable tokenizer."""
-    return table(spark, folder, "mcq").select("id", hooks.token_lengths(F.col("question")).alias("tokens"))
+    return table(spark, folder, "mcq").select("id", hooks.token_lengths(F.col("question"), hooks.word_tokenizer).alias("tokens"), hooks.word_counts(F.col("question")).alias("built_in"))
 
 
-@register()
+@register(
+    """SELECT prompt_id, length(text)::VARCHAR || ' <|assistant|>' AS response FROM (SELECT prompt_id, (SELECT coalesce(string_agg('<|' || m.role || '|>' || chr(10) || coalesce(m.content, '') || chr(10), '' ORDER BY i), '')
+    FROM (SELECT unnest(prompt) AS m, unnest(range(len(prompt))) AS i)) || '<|assistant|>' || chr(10) AS text FROM benchmark_prompt WHERE prompt IS NOT NULL AND len(list_filter(prompt, lambda m: m.role IS NULL)) = 0)"""
+)
 def batch_inference(spark: SparkSession, folder: str) -> DataFrame:
     """Outputs of a pluggable batch model."""
-    rows = table(spark, folder, "benchmark_prompt").select("prompt_id", M.render_chat(F.col("prompt"), generation_prompt="<|assistant|>\n").alias("prompt"))
+    rows = table(spark, folder, "benchmark_prompt").where("prompt is not null and not exists(prompt, m -> m.role is null)")
+    rows = rows.select("prompt_id", M.render_chat(F.col("prompt"), generation_prompt="<|assistant|>\n").alias("prompt"))
     return hooks.generate(rows, "prompt", hooks.echo_model).select("prompt_id", "response")
 
 
@@ -756,3 +807,90 @@ def label_codes(spark: SparkSession, folder: str) -> DataFrame:
     named = F.when(F.col("band") == 1, "negative").when(F.col("band") == 3, "neutral").when(F.col("band") == 5, "positive")
     code = classify.encode_label(named)
     return table(spark, folder, "reading_labels").select(big(F.col("band")).alias("band"), big(code).alias("label_id"), classify.decode_label(code).alias("label"), "doc_id")
+
+
+@register("SELECT doc_id, rater, CASE band WHEN 1 THEN 'easy' WHEN 5 THEN 'hard' END AS name FROM reading_labels")
+def label_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of values in a small mapping."""
+    return table(spark, folder, "reading_labels").select("doc_id", "rater", classify.map_values(F.col("band").cast("string"), {"1": "easy", "5": "hard"}).alias("name"))
+
+
+# --- Sources and sinks: written to the shared folder, read back -----------------------
+
+
+@register("SELECT record_id, id, source, messages[1].content AS first, len(messages) AS n FROM finetune_data")
+def jsonl_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Examples as JSON lines and back."""
+    path = new_folder(spark, "jsonl")
+    sinks.write_jsonl(table(spark, folder, "finetune_data").select("source", "task", "messages", "id", "record_id"), path)
+    rows = readers.read_jsonl(spark, path, f"record_id long, id string, source string, messages {M.MESSAGES}")
+    return rows.select("record_id", "id", "source", F.get("messages", 0).content.alias("first"), big(F.when(F.col("messages").isNotNull(), F.size("messages"))).alias("n"))
+
+
+@register("SELECT record_id, id, CASE split WHEN 'train' THEN 'train' ELSE 'eval' END AS split FROM finetune_data WHERE split IN ('train', 'test')")
+def split_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of several splits as one table."""
+    own = table(spark, folder, "finetune_data").select("record_id", "id", "split")
+    files = {name: new_folder(spark, name) for name in ("train", "eval")}
+    for name, split in (("train", "train"), ("eval", "test")):
+        sinks.write_jsonl(own.where(F.col("split") == split).drop("split"), files[name])
+    return readers.read_splits(spark, files, "record_id long, id string").select("record_id", "id", "split")
+
+
+@register("SELECT prompt_id, coalesce(response, 'None') AS response, count(*) AS n FROM generation WHERE prompt_id IS NOT NULL GROUP BY 1, 2")
+def generations_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Responses as JSON lines and back, each line checked."""
+    path = new_folder(spark, "generations")
+    rows = table(spark, folder, "generation").where("prompt_id is not null")
+    sinks.write_generations(rows.withColumn("response", F.coalesce("response", F.lit("None"))), path)
+    return stats.count_by(readers.read_generations(spark, path), "prompt_id", "response")
+
+
+@register("SELECT trim(subject_name) AS label, trim(topic_name) AS sentence, count(*) AS n FROM mcq WHERE trim(subject_name) <> '' AND trim(topic_name) <> '' GROUP BY 1, 2")
+def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled sentences in a Latin-1 file whose rows end in a carriage return, and back."""
+    path = new_folder(spark, "csv")
+    rows = table(spark, folder, "mcq").select(F.trim("subject_name").alias("label"), F.trim("topic_name").alias("sentence")).where("label <> '' and sentence <> ''")
+    rows.write.option("lineSep", "\r").option("encoding", "ISO-8859-1").csv(path)
+    return stats.count_by(readers.read_labelled_csv(spark, path), "label", "sentence")
+
+
+@register("SELECT prompt_id, len(rubrics) AS rubrics FROM benchmark_prompt")
+def named_split(spark: SparkSession, folder: str) -> DataFrame:
+    """One split of a data set of pinned files, with the columns it must have."""
+    path = new_folder(spark, "benchmark")
+    sinks.write_jsonl(table(spark, folder, "benchmark_prompt"), path)
+    rows = readers.read_named(spark, {"test": path}, "test", required=("prompt_id", "prompt", "rubrics", "example_tags"))
+    return rows.select("prompt_id", big(F.when(F.col("rubrics").isNotNull(), F.size("rubrics"))).alias("rubrics"))
+
+
+@register("SELECT count(*) AS n FROM reference_qa")
+def config_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """A table under whichever spelling of its name is there."""
+    return readers.with_fallback(readers.name_variants("Reference-QA"), lambda name: table(spark, folder, name)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("SELECT prompt_id, prompt_response, count(*) AS n FROM (SELECT b.prompt_id, g.response AS prompt_response FROM benchmark_prompt b JOIN (SELECT prompt_id, arg_max(coalesce(response, 'None'), line_no) AS response FROM generation WHERE prompt_id IS NOT NULL GROUP BY prompt_id) g ON b.prompt_id = g.prompt_id) GROUP BY 1, 2")
+def judge_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Judge rows as JSON lines, and back."""
+    path = new_folder(spark, "judge")
+    sinks.write_judge_jsonl(judge.judge_rows(table(spark, folder, "benchmark_prompt"), table(spark, folder, "generation")), path)
+    rows = readers.read_jsonl(spark, path, f"prompt_id string, prompt_response {M.MESSAGES}")
+    return stats.count_by(rows.select("prompt_id", F.get("prompt_response", 0).content.alias("prompt_response")), "prompt_id", "prompt_response")
+
+
+@register("SELECT gold_label, pred_label, count(*) AS n FROM (SELECT ['negative', 'neutral', 'positive'][band % 3 + 1] AS gold_label, ['negative', 'neutral', 'positive'][CAST(doc_id % 3 AS INT) + 1] AS pred_label FROM reading_labels WHERE band IS NOT NULL) GROUP BY 1, 2")
+def evaluation_files(spark: SparkSession, folder: str) -> DataFrame:
+    """What an evaluated classifier leaves: three documents and its predictions, which are read back."""
+    out = new_folder(spark, "evaluation")
+    rows = table(spark, folder, "reading_labels").where("band is not null").select((F.col("band") % 3).cast("int").alias("gold_label_id"), (F.col("doc_id") % 3).cast("int").alias("pred_label_id"))
+    sinks.write_evaluation(rows, out)
+    return stats.count_by(spark.read.schema("gold_label_id int, gold_label string, pred_label_id int, pred_label string").option("header", True).csv(f"{out}/predictions.csv"), "gold_label", "pred_label")
+
+
+@register("SELECT event_type AS tag, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS steps, round(sum(value::FLOAT::DOUBLE), 4) AS total FROM events GROUP BY event_type")
+def event_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Scalars framed as training event logs, one file's bytes a row, and read again."""
+    rows = table(spark, folder, "events").select("event_type", "event_id", F.unix_timestamp("ts").cast("double").alias("wall"), "value")
+    log = readers.event_log_rows(readers.as_event_logs(rows, "event_type", "event_id", "wall", "value"))
+    return log.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.sum("step").alias("steps"), F.round(F.sum("value"), 4).alias("total"))

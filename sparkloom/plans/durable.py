@@ -8,6 +8,7 @@ chosen only for a session in local mode that names none, as in tests.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,11 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+    made = tempfile.mkdtemp(prefix="sparkloom-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    own = "file://" + made
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for files that go when the driver ends or :func:`release` is called."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark._jsc.hadoopConfiguration(), spark._jvm, path))
+    return path
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` into the shared folder and return it read back, with its schema.
 
@@ -39,9 +49,8 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     folders go when the driver ends, or earlier through :func:`release`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark._jsc.hadoopConfiguration(), spark._jvm, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.messages import computed, full_signature, normalize_messages, user_signature
+from sparkloom.functions.messages import computed, full_signature, normalize_messages, turn_count, user_signature
 from sparkloom.functions.text import normal_name
 from sparkloom.operators.dedup import dedup_by_priority, dedup_lenient_strict, dedup_pool
-from sparkloom.operators.sampling import draw_to_targets, split_random
+from sparkloom.operators.sampling import bucket_digits, draw_to_targets, split_random
 from sparkloom.operators.stats import count_by, turn_stats
 from sparkloom.plans.config import MixturePlan
 from sparkloom.plans.durable import durable
@@ -31,14 +31,29 @@ def pool_of_records(records: DataFrame, nfkc: bool = True) -> DataFrame:
     return signed(computed(rows, {"messages": normalize_messages(F.col("_raw"), nfkc)}).drop("_raw").where("size(messages) > 0"))
 
 
+#: What splitting, deduplication and draws need of an example: its texts stay where they are until it is written.
+SLIM = ("pos", "id", "source", "split", "user_sig", "full_sig", "turns")
+
+
+def slim(pools: DataFrame) -> DataFrame:
+    """Examples without their texts, with the number of their messages but the system ones."""
+    turns = F.coalesce(F.greatest(turn_count(F.col("messages")), F.lit(0)), F.lit(0)).cast("long")
+    return pools.withColumn("turns", turns).select(*SLIM)
+
+
 @dataclass(frozen=True)
 class Mixture:
-    """Pools before and after deduplication, and the drawn stages."""
+    """Examples before and after deduplication and the drawn stages, without texts; and the pools that have those."""
 
+    texts: DataFrame
     pools: DataFrame
     unique: DataFrame
     drawn: DataFrame
 
+    def with_texts(self, rows: DataFrame) -> DataFrame:
+        """Rows of the mixture with task, messages and meta of their example; a source's positions are unique."""
+        return rows.join(self.texts.select("source", "pos", "task", "messages", "meta"), ["source", "pos"])
+
     def stats(self) -> DataFrame:
         """(part, split, source, n, turns, avg_turns, max_turns): sizes before and after deduplication, and of each stage."""
         named = lambda df, part, split: turn_stats(df, *split, "source").select(part.alias("part"), *([F.col("split")] if split else [F.lit("train").alias("split")]), "source", "n", "turns", "avg_turns", "max_turns")
@@ -46,23 +61,32 @@ class Mixture:
         return named(self.pools, F.lit("pool"), ["split"]).unionByName(named(self.unique, F.lit("unique"), ["split"])).unionByName(stages)
 
 
+def _slim_once(pools: DataFrame) -> tuple[DataFrame, int]:
+    """The one pass over the texts: slim examples, written, and the digits their buckets need."""
+    rows = durable(slim(pools), "examples")
+    return rows, bucket_digits(rows.count())
+
+
 def dialogue_mixture(pools: DataFrame, plan: MixturePlan) -> Mixture:
     """Sources without official splits are split first, then deduplicated within each split by priority (some leniently), then drawn."""
+    rows, digits = _slim_once(pools)
     own = [s.source for s in plan.splits]
-    divided = split_random(pools.where(F.col("source").isin(*own)).drop("split"), plan.splits) if own else pools.limit(0)
-    every = durable(pools.where(~F.col("source").isin(*own)).unionByName(divided), "pools")
+    divided = split_random(rows.where(F.col("source").isin(*own)).drop("split"), plan.splits, digits=digits) if own else rows.limit(0)
+    every = durable(rows.where(~F.col("source").isin(*own)).unionByName(divided), "pools") if own else rows
     unique = durable(dedup_lenient_strict(every, plan.priority, plan.lenient), "unique")
-    return Mixture(every, unique, draw_to_targets(unique.where("split = 'train'"), plan.targets))
+    return Mixture(pools, every, unique, draw_to_targets(unique.where("split = 'train'"), plan.targets, digits=digits))
 
 
 def knowledge_mixture(pools: DataFrame, plan: MixturePlan) -> Mixture:
     """Sources are deduplicated in themselves before they are split, then across sources by priority, then drawn."""
+    rows, digits = _slim_once(pools)
     own = [s.source for s in plan.splits]
-    clean = dedup_pool(pools, within=("source", "split"))
-    divided = split_random(dedup_pool(pools.where(F.col("source").isin(*own)), within=("source",)).drop("split"), plan.splits) if own else pools.limit(0)
-    every = durable(clean.where(~F.col("source").isin(*own)).unionByName(divided), "pools")
+    clean = dedup_pool(rows.where(~F.col("source").isin(*own)), within=("source", "split"))
+    # Ranks read their rows twice, so what is deduplicated is written before.
+    divided = split_random(durable(dedup_pool(rows.where(F.col("source").isin(*own)), within=("source",)).drop("split"), "clean"), plan.splits, digits=digits) if own else rows.limit(0)
+    every = durable(clean.unionByName(divided), "pools")
     unique = durable(dedup_by_priority(every, plan.priority), "unique")
-    return Mixture(every, unique, draw_to_targets(unique.where("split = 'train'"), plan.targets))
+    return Mixture(pools, every, unique, draw_to_targets(unique.where("split = 'train'"), plan.targets, digits=digits))
 
 
 def pool_sizes(mixture: Mixture) -> DataFrame:

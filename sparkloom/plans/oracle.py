@@ -29,8 +29,8 @@ def squeeze(x: str) -> str:
 
 
 def clean(x: str) -> str:
-    """Cleaned text; the tables these queries read hold no other compatibility characters than no-break spaces."""
-    even = f"translate(coalesce({x}, ''), chr(8203) || chr(160), '  ')"
+    """Cleaned text; the tables these queries read hold no other compatibility characters than no-break spaces and the ordinal sign."""
+    even = f"translate(coalesce({x}, ''), chr(8203) || chr(160) || 'º', '  o')"
     return strip(sub(sub(sub(even, r"\r\n?", "chr(10)"), r"[ \t]+", " "), r"\n{3,}", "chr(10) || chr(10)"))
 
 

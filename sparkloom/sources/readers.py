@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from sparkloom.operators.chat import EXIT_WORDS
+from sparkloom.operators.judge import require_columns
+from sparkloom.operators.sampling import shuffled
+from sparkloom.sources.eventlog import encode_scalars, scalars
+from sparkloom.sources.files import exists, numbered_lines
 
 EXAMPLE_SCHEMA = (
     "id string, source string, task string, messages array<struct<role:string,content:string>>, "
@@ -20,27 +26,41 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str = EXA
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
-def read_splits(spark: SparkSession, files: dict[str, str], schema: str = EXAMPLE_SCHEMA) -> DataFrame:
-    """JSON lines of several splits as one table with a ``split`` column; a split without file has no rows."""
+def read_splits(spark: SparkSession, files: dict[str, str], schema: str = EXAMPLE_SCHEMA, seed: int | None = None) -> DataFrame:
+    """JSON lines of several splits as one table with a ``split`` column; a split without file has no rows. With a seed each split's rows come in the order it determines."""
     out = None
     for split, path in files.items():
         part = read_jsonl(spark, path, schema).withColumn("split", F.lit(split))
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema + ", split string")
+    rows = out if out is not None else spark.createDataFrame([], schema + ", split string")
+    return rows if seed is None else shuffled(rows, seed, "id", within=("split",))
+
+
+def read_named(spark: SparkSession, files: dict[str, str], split: str, schema: str | None = None, required: Sequence[str] = ()) -> DataFrame:
+    """One split of a data set given by its pinned files, with the columns it must have.
+
+    Raises ValueError naming the splits there are, or the columns that are missing, and
+    FileNotFoundError where the split's file is.
+    """
+    if split not in files:
+        raise ValueError(f"no split {split!r}; there are {sorted(files)}")
+    if not exists(spark, files[split]):
+        raise FileNotFoundError(files[split])
+    rows = read_jsonl(spark, files[split], schema) if schema else spark.read.option("mode", "FAILFAST").json(files[split])
+    return require_columns(rows, *required)
 
 
 def read_generations(spark: SparkSession, path: str) -> DataFrame:
-    """(prompt_id, response, line_no) of a JSON lines file, by line.
+    """(prompt_id, response, line_no) of JSON lines files, by line from 1.
 
     Lines that aren't JSON, or lack a prompt id or response, raise ValueError naming the
     first of them; so does a file without lines. Texts other than strings are taken as text.
     """
-    # One file: positions of its lines follow from partition and place in it.
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
     parsed = lines.select("line_no", F.from_json("value", "map<string,string>").alias("m"), "value")
     bad = parsed.where(F.col("m").isNull() | ~F.map_contains_key("m", F.lit("prompt_id")) | ~F.map_contains_key("m", F.lit("response")) | F.col("m.prompt_id").isNull()).orderBy("line_no").limit(1).collect()
     if bad:
-        raise ValueError(f"line {bad[0].line_no + 1}: not an object with prompt_id and response: {bad[0].value[:80]}")
+        raise ValueError(f"line {bad[0].line_no}: not an object with prompt_id and response: {bad[0].value[:80]}")
     if parsed.isEmpty():
         raise ValueError("no responses")
     return parsed.select(F.col("m.prompt_id").alias("prompt_id"), F.coalesce("m.response", F.lit("None")).alias("response"), "line_no")
@@ -74,39 +94,42 @@ def optional_split(rows: DataFrame, *names: str, split: str = "split") -> DataFr
     return rows.where(F.col(split) == chosen) if chosen else rows.where(F.lit(False))
 
 
-class ScalarLog(DataSource):
-    """Scalar series of JSON-lines event logs, one partition a file: ``spark.read.format('scalar_log').option('paths', 'a,b').load()``."""
+_SCALARS = "file string, tag string, step long, wall_time double, value double"
+
 
-    @classmethod
-    def name(cls) -> str:
-        """The format's name."""
-        return "scalar_log"
+def _scalar_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = [(path, *r) for r in scalars(content)]
+            columns = list(zip(*rows)) if rows else [()] * 5
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "tag", "step", "wall_time", "value"])
 
-    def schema(self) -> str:
-        """Columns."""
-        return "tag string, step long, value double"
 
-    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        """A reader of the files named in the options."""
-        return _ScalarReader([p for p in self.options.get("paths", "").split(",") if p])
+def _as_logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(c.to_pylist() for c in batch.columns))
+        content = encode_scalars(r for r in rows if None not in r)
+        yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([content], pa.binary())], names=["path", "content"])
 
 
-class _ScalarReader(DataSourceReader):
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
+def as_event_logs(rows: DataFrame, tag: str, step: str, wall_time: str, value: str) -> DataFrame:
+    """(path, content): the scalars of each batch of rows as the bytes of an event log; rows with a null are left out."""
+    return rows.select(F.col(tag).cast("string"), F.col(step).cast("long"), F.col(wall_time).cast("double"), F.col(value).cast("double")).mapInArrow(_as_logs, "path string, content binary")
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths] or [InputPartition("")]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import json
+def event_log_rows(files: DataFrame) -> DataFrame:
+    """(file, tag, step, wall_time, value) of event logs given as (path, content)."""
+    return files.select("path", "content").mapInArrow(_scalar_rows, _SCALARS)
 
-        if partition.value:
-            with open(partition.value, encoding="utf-8") as f:
-                for line in f:
-                    if line.strip():
-                        e = json.loads(line)
-                        yield str(e["tag"]), int(e["step"]), float(e["value"])
+
+def read_event_logs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file, tag, step, wall_time, value): the scalars of training event logs, files of framed records on any file system.
+
+    A file is read whole by one task, as its records can only be found from its start; a
+    last record cut short, as of a run still going, is left out.
+    """
+    return event_log_rows(spark.read.format("binaryFile").load(path))
 
 
 def scalar_tags(series: DataFrame) -> DataFrame:
@@ -117,3 +140,20 @@ def scalar_tags(series: DataFrame) -> DataFrame:
 def scalar_series(series: DataFrame, tag: str) -> DataFrame:
     """(step, value) of a tag."""
     return series.where(F.col("tag") == tag).select("step", "value")
+
+
+def turns_of_lines(spark: SparkSession, lines: Iterable[str], conversation: str = "console") -> DataFrame:
+    """(conv_id, turn, role, text) of lines that a user types, as of ``sys.stdin``: one conversation, a line a turn, up to the first exit word; blank lines are skipped."""
+    out = []
+    for line in lines:
+        said = line.strip()
+        if said.lower() in EXIT_WORDS:
+            break
+        if said:
+            out.append((conversation, len(out) + 1, "user", said))
+    return spark.createDataFrame(out, "conv_id string, turn long, role string, text string")
+
+
+def from_pandas(spark: SparkSession, frame, schema: str | None = None) -> DataFrame:  # noqa: ANN001 - a pandas frame
+    """A frame in the driver's memory as a table: missing values become nulls."""
+    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None), schema) if len(frame.columns) else spark.createDataFrame([], schema or "")

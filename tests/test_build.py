@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from collections import Counter
 
+import pytest
+
 from sparkloom.plans import build
 from sparkloom.plans.config import MixturePlan, MixtureTarget, SplitSize
 
@@ -24,7 +26,9 @@ def test_dialogue_build(spark, tmp_path):
         priority=("followup", "exam_dialogue", "consult", "notes"), lenient=("followup", "exam_dialogue"), splits=(SplitSize("consult", 3, 4, 1), SplitSize("exam_dialogue", 1, 1, 2)),
         targets=(MixtureTarget("stage1", "consult", 10, 3), MixtureTarget("stage1", "exam_dialogue", 9, 4), MixtureTarget("stage2", "followup", 2, 5)),
     )
-    frames = {name: build.raw_table(spark, str(raw), name) for name in build.RAW}
+    with pytest.raises(FileNotFoundError):
+        build.raw_table(spark, str(raw), "notes")
+    frames = {name: build.raw_table(spark, str(raw), name, allow_missing=True) for name in build.DIALOGUE_TABLES}
     from sparkloom.plans.mixture import dialogue_mixture
 
     mixture = dialogue_mixture(build.dialogue_pools(frames), mixture_plan)
@@ -40,5 +44,27 @@ def test_dialogue_build(spark, tmp_path):
 
 
 def test_knowledge_pools_of_absent_tables(spark, tmp_path):
-    frames = {name: build.raw_table(spark, str(tmp_path), name) for name in build.RAW}
+    frames = {name: build.raw_table(spark, str(tmp_path), name, allow_missing=True) for name in build.KNOWLEDGE_TABLES}
     assert build.knowledge_pools(frames).count() == 0
+
+
+def test_places_without_a_position_column(spark, tmp_path):
+    rows = [{"instruction": f"i{k}", "input": "x", "output": "y"} for k in range(40)]
+    (tmp_path / "notes.jsonl").write_text("\n\n".join(map(json.dumps, rows)))
+    places = [r.pos for r in build.raw_table(spark, str(tmp_path), "notes").orderBy("pos").collect()]
+    assert places == list(range(0, 80, 2))
+    spark.createDataFrame(rows).orderBy("instruction").coalesce(2).write.parquet(str(tmp_path / "task.parquet"))
+    assert sorted(r.pos for r in build.raw_table(spark, str(tmp_path), "task").collect()) == list(range(40))
+
+
+def test_options():
+    chosen = build.options(["dialogue", "--tables", "t", "--out", "o", "--target", "stage1.consult=7", "--val", "notes=3", "--seed", "43", "--most-messages", "6", "--question", "100"])
+    plan = build.planned(chosen)
+    assert next(t for t in plan.targets if (t.stage, t.source) == ("stage1", "consult")).target == 7 and next(s for s in plan.splits if s.source == "notes").val == 3
+    assert plan.shuffle_seed == 43 and plan.splits[0].seed == build.DIALOGUE_PLAN.splits[0].seed + 1 and chosen.question == 100
+    assert build.planned(build.options(["knowledge", "--tables", "t", "--out", "o", "--scale", "0.5"])).targets[0].target == 19_000
+    with pytest.raises(SystemExit):
+        build.options(["dialogue", "--tables", "t", "--out", "o", "--scale", "2", "--target", "stage1.consult=7"])
+    for bad in (["--target", "stage9.x=1"], ["--val", "followup=1"]):
+        with pytest.raises(ValueError):
+            build.planned(build.options(["dialogue", "--tables", "t", "--out", "o", *bad]))

@@ -139,7 +139,9 @@ def test_class_measures(spark):
 
 def test_conflicts(spark):
     df = spark.createDataFrame([(" Positive", "a  b"), ("negative", "a b "), ("neutral", "c"), ("neutral", "c"), ("odd", "d"), (None, "e"), ("neutral", None)], "label string, sentence string")
-    assert [tuple(r) for r in classify.clean_sentences(df).collect()] == [("c", "neutral")] or [(r.label, r.sentence) for r in classify.clean_sentences(df).collect()] == [("neutral", "c")]
+    assert sorted((r.label, r.sentence) for r in classify.clean_sentences(df).collect()) == [("neutral", "c"), ("neutral", "nan")]
+    assert [(r.label, r.sentence) for r in classify.clean_sentences(df, null_sentence="").collect()] == [("neutral", "c")]
+    assert classify.compute_metrics(spark.createDataFrame([], "gold int, pred int"))["accuracy"] == 0.0
 
 
 def test_histories(spark):
@@ -155,6 +157,19 @@ def test_dense_position(spark):
     assert [r.pos for r in got] == list(range(100)) and [r.batch for r in got] == [i // 16 for i in range(100)]
 
 
+def test_dense_position_of_many_rows(spark):
+    df = spark.range(2_000_000, numPartitions=8).select(F.xxhash64("id").alias("k"), F.col("id").alias("other"))
+    got = chat.dense_position(df, "k")
+    r = got.agg(F.count_distinct("pos").alias("n"), F.min("pos").alias("a"), F.max("pos").alias("b"), F.sum("other").alias("s")).first()
+    assert (r.n, r.a, r.b, r.s) == (2_000_000, 0, 1_999_999, 1_999_999 * 1_000_000)
+    ordered = got.where("pos < 1000").orderBy("pos").select("k").collect()
+    assert ordered == sorted(ordered)
+
+
+def test_bucket_digits():
+    assert [sampling.bucket_digits(n) for n in (0, 10**6, 4 * 10**8, 10**9, 10**11)] == [3, 3, 3, 4, 5]
+
+
 def test_schedules(spark):
     rates = {(r.part, r.layer): r.rate for r in schedules.layer_rates(spark, 2, 1.0, 0.5).collect()}
     assert rates == {("layer", 0): 0.5, ("layer", 1): 1.0, ("head", None): 1.0, ("embeddings", None): 0.25}
