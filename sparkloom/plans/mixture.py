@@ -36,9 +36,9 @@ SLIM = ("pos", "id", "source", "split", "user_sig", "full_sig", "turns")
 
 
 def slim(pools: DataFrame) -> DataFrame:
-    """Examples without their texts, with the number of their messages but the system ones."""
+    """Examples without their texts: the signature of the first question by its hash, as that of the dialogue is one, and the number of messages but the system ones."""
     turns = F.coalesce(F.greatest(turn_count(F.col("messages")), F.lit(0)), F.lit(0)).cast("long")
-    return pools.withColumn("turns", turns).select(*SLIM)
+    return pools.withColumns({"turns": turns, "user_sig": F.md5("user_sig")}).select(*SLIM)
 
 
 @dataclass(frozen=True)
