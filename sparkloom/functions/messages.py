@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,12 +120,27 @@ def with_system(system: str | None, messages: Column) -> Column:
     return F.concat(F.array(message("system", F.lit(system))), messages) if system else messages
 
 
-def render_chat(messages: Column, turn: str = "<|{role}|>\n{content}\n", generation_prompt: str = "") -> Column:
-    """The text of a dialogue under a chat template: ``turn`` for each message with {role} and {content}, then the generation prompt."""
+#: Chat templates by name: what stands before all messages, a message, and what asks for an answer. Public formats; others are given as such a triple.
+TEMPLATES = {
+    "tags": ("", "<|{role}|>\n{content}\n", "<|assistant|>\n"),
+    "chatml": ("", "<|im_start|>{role}\n{content}<|im_end|>\n", "<|im_start|>assistant\n"),
+    "plain": ("", "{role}: {content}\n", "assistant: "),
+}
+
+
+def render_chat(messages: Column, turn: str = TEMPLATES["tags"][1], generation_prompt: str = "", start: str = "", roles: Mapping[str, str] | None = None) -> Column:
+    """The text of a dialogue under a chat template: ``start``, ``turn`` for each message with {role} and {content}, then the generation prompt. ``roles`` renames roles."""
     lead, rest = turn.split("{role}")
     between, tail = rest.split("{content}")
-    parts = F.transform(messages, lambda m: F.concat(F.lit(lead), m.role, F.lit(between), F.coalesce(m.content, F.lit("")), F.lit(tail)))
-    return F.concat(F.array_join(parts, ""), F.lit(generation_prompt))
+    named = (lambda r: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in roles.items() for x in kv]), r), r)) if roles else (lambda r: r)
+    parts = F.transform(messages, lambda m: F.concat(F.lit(lead), named(m.role), F.lit(between), F.coalesce(m.content, F.lit("")), F.lit(tail)))
+    return F.concat(F.lit(start), F.array_join(parts, ""), F.lit(generation_prompt))
+
+
+def apply_template(messages: Column, template: str | tuple[str, str, str] = "chatml", generation: bool = False) -> Column:
+    """The text of a dialogue under a named template, with the request for an answer if ``generation``."""
+    start, turn, ask = TEMPLATES[template] if isinstance(template, str) else template
+    return render_chat(messages, turn, ask if generation else "", start)
 
 
 def as_response(text: Column) -> Column:

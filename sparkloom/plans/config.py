@@ -98,3 +98,34 @@ KNOWLEDGE_PLAN = MixturePlan(
         MixtureTarget("stage1", "general", 3000, 67),
     ),
 )
+
+
+@dataclass(frozen=True)
+class TrainingRun:
+    """The settings of a training run that its data depends on, as its run configuration holds them."""
+
+    max_seq_length: int = 2048
+    epochs: float = 1.0
+    batch: int = 4
+    accumulation: int = 16
+    learning_rate: float = 5e-5
+    warmup_ratio: float = 0.03
+    seed: int = 42
+    shuffle_seed: int = 42
+    bf16: bool = False
+    fp16: bool = False
+    gradient_checkpointing: bool = False
+    no_gradient_checkpointing: bool = False
+    target_modules: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        for a, b in (("bf16", "fp16"), ("gradient_checkpointing", "no_gradient_checkpointing")):
+            if getattr(self, a) and getattr(self, b):
+                raise ValueError(f"{a} and {b} exclude each other")
+        if min(self.max_seq_length, self.batch, self.accumulation) < 1:
+            raise ValueError("lengths and batches hold at least one")
+
+    @property
+    def effective_batch(self) -> int:
+        """Examples of an optimiser step on one device."""
+        return self.batch * self.accumulation
