@@ -5,8 +5,8 @@
 * ``copied``: the answer aligns with the user message before it (shared shingles, then
   the longest common subsequence);
 * ``wrong_language``: function words of question and answer point to other languages;
-* ``truncated``: the answer lacks its end. An answer without a final mark is held
-  against the corpus: the words it stops with are complete where answers elsewhere go
+* ``truncated``: the answer lacks its end. An answer that stops inside a bracket, or after
+  a comma or dash, does; another one without a final mark is held against the corpus: the words it stops with are complete where answers elsewhere go
   on to a new sentence after them. The counts behind that are taken over all answers.
 """
 
@@ -346,6 +346,17 @@ def _open_end(content: str) -> tuple[str, bool]:
     return fold(text), cut
 
 
+_SAD = re.compile(r":['-]?\(\Z")
+
+
+def _hangs(text: str) -> bool:
+    """Whether folded text without a final mark stops inside a bracket, or after a comma or dash: no sentence does."""
+    if text[-1] in ",–—，、":
+        return True
+    opened = max(text.rfind("("), text.rfind("（"))
+    return opened > max(text.rfind(")"), text.rfind("）")) and not _SENTENCE.search(text, opened) and not _SAD.search(text)
+
+
 #: Distinct word pairs a task holds before it passes their counts on; bounds memory, changes no result.
 HELD = 400_000
 _ROWS = pa.schema([("kind", pa.string()), ("record_id", pa.int64()), ("defect", pa.string()), ("key", pa.int64()), ("level", pa.int32()), ("ended", pa.int64()), ("seen", pa.int64()), ("answer", pa.int32())])
@@ -425,7 +436,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if is_open:
                     keys = _end_keys(tokens)
                     # A copy ends as the question does.
-                    if not copied and not any(" ".join(map(_plain, tokens[-k:])) in _SIGN_OFFS for k in range(1, 6)):
+                    if copied or any(" ".join(map(_plain, tokens[-k:])) in _SIGN_OFFS for k in range(1, 6)):
+                        pass
+                    elif _hangs(text):
+                        found.add("truncated")
+                    else:
                         rows += [("open", record_id, None, k, level, None, None, n) for level, k in enumerate(keys)]
                     tokens.pop()
                 pairs.update(zip(["."] + tokens, tokens))

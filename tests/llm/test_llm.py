@@ -144,6 +144,13 @@ def test_truncated_alike(spark, records):
     assert got == [set()] * 10 + [{"truncated"}] * 14
 
 
+def test_ends_inside_a_sentence(spark, records):
+    whole = ["Rest the knee for a week. Then keep a food diary.", "It helps to keep a food diary. Call me."]
+    ends = ["Please keep a food diary (for example", "Please keep a food diary,", "Please keep a food diary –", "Take care of it (and keep a food diary)", "Keep a food diary :(", "All is (well. Keep a food diary", "Keep it.\nBest wishes,"]
+    got = defects(spark, records, *[[("user", Q), ("assistant", t)] for t in whole * 5 + ends])
+    assert got[10:] == [{"truncated"}] * 3 + [set()] * 4
+
+
 def test_refusals():
     assert pairs.is_refusal("Unfortunately, my guidelines prevent me from replying, and I hope you understand.")
     assert pairs.is_refusal("Lo siento, pero no me es posible opinar sobre la artrosis. Gracias por su comprensión.")
