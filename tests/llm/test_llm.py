@@ -361,6 +361,20 @@ def test_pairs_of_a_crowd_do_not_depend_on_batches(spark, records, monkeypatch):
     assert got == [overlap_truth(rows)] * 3
 
 
+def test_copies_in_other_tasks_meet_once(spark, records, monkeypatch):
+    texts = {i: (m, s) for i, m, s in crowd(60)}
+    rows = [(1000 * k + i, m, s) for k in range(9) for i, (m, s) in texts.items()] + [(1000 * k + 999, texts[0][0], "train") for k in range(9)]  # one class on both sides
+    df = records(rows).repartition(7, "record_id")
+    sides = {(tuple(canonical_words(m[0][1])), s == "train") for _, m, s in rows}
+    want = overlap_truth([(i, m, s) for i, m, s in rows if i < 1000])
+    for listed in (splitoverlap.LISTED, 0):  # by a broadcast and by a shuffle
+        monkeypatch.setattr(splitoverlap, "LISTED", listed)
+        sequences = splitoverlap.word_sequences(df)
+        assert splitoverlap._first_copies(sequences).count() == len(sides) < 70
+        got = {tuple(r) for r in splitoverlap.split_overlaps(df).collect()}
+        assert {(a, b) for a, b in got if a < 1000 and b < 1000} == want and {x for p in got for x in p} == {i for i, _, _ in rows if i % 1000 in {x % 1000 for p in want for x in p}}
+
+
 def test_changed_words_are_the_rarest(spark, records):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(300)]
